@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing
+from . import chat, decontamination, fingerprints, mixing, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op5_chat": chat.op5_chat,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op4_decontamination": decontamination.ORACLE_SQL,
+    "op5_chat": chat.ORACLE_SQL,
 }

@@ -11,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import PLAIN_WORD, ascii_lower, cut
+from ._common import ascii_lower, cut
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 #: Benchmark rows (anchors or windows of some 200 bytes) up to which that side of a join is broadcast.
 BROADCAST_ROWS = 50_000
-#: As PLAIN_WORD, before lower-casing.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII letters and digits and all non-ASCII characters, in two predicates, which Java matches far faster than five ranges.
+WORD = r"[\p{Alnum}\P{ASCII}]+"
 
 
 def words_of(text: Column) -> Column:
     """Words of a lower-cased text: digits, a-z and non-ASCII characters; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(PLAIN_WORD), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def _let(value: Column, body) -> Column:
@@ -129,7 +129,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
     owned = owners.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     found = hit.alias("a").join(owned.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
     found = found.select("a.doc_id", "a.th", "n_hit", "items")
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = base.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th")), "left")
     n_hit = F.coalesce("f.n_hit", F.lit(0)).cast("long")
     return joined.select(

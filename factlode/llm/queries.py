@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, fingerprints, mixing, secrets
+from . import chat, decontamination, fingerprints, mixing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_chat": chat.op5_chat,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_secrets": secrets.op10_secrets,
 }
 

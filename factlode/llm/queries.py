@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, fingerprints, mixing, secrets, simhash, toxicity
+from . import chat, decontamination, fingerprints, mixing, repeats, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_repeats": repeats.op3_repeats,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_chat": chat.op5_chat,
     "op7_simhash": simhash.op7_simhash,

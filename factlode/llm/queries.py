@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, fingerprints, mixing, repeats, secrets, simhash, toxicity
+from . import chat, decontamination, fingerprints, licenses, lm, mixing, repeats, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_repeats": repeats.op3_repeats,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_chat": chat.op5_chat,
+    "op6_lm": lm.op6_lm,
     "op7_simhash": simhash.op7_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_licenses": licenses.op9_licenses,
     "op10_secrets": secrets.op10_secrets,
 }
 

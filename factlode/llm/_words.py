@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Texts are handled in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 
 _u64 = np.uint64
 _BYTE = np.random.default_rng(64).integers(1, 1 << 63, 256, dtype=np.uint64) * _u64(2) + _u64(1)

@@ -104,15 +104,16 @@ def with_scores(docs: DataFrame, target: Model, background: Model) -> DataFrame:
 
     A null or empty text has no words and zeros. The broadcast models have a fixed size, set by VOCABULARY_BITS and PAIR_BITS.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((target, background))
+    shared = docs.sparkSession.sparkContext.broadcast([(m.word, m.context, m.pair) for m in (target, background)])
 
     @F.pandas_udf(_SCORED)
     def score(texts: pd.Series) -> pd.DataFrame:
+        models = [Model(*arrays) for arrays in shared.value]
         out = []
         for _, some in _words.groups([t.encode() for t in texts.fillna("")]):
             word, before, pair, owner = tokens(some)
             n = np.bincount(owner, minlength=len(some))
-            means = [np.bincount(owner, m.losses(word, before, pair), len(some)) / np.maximum(n, 1) for m in shared.value]
+            means = [np.bincount(owner, m.losses(word, before, pair), len(some)) / np.maximum(n, 1) for m in models]
             out.append(pd.DataFrame({"n_words": n, "target_loss": means[0], "background_loss": means[1]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_words": [], "target_loss": [], "background_loss": []})
 

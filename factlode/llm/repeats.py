@@ -83,6 +83,11 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows that can be judged: (doc_id, th, text). Joins on (doc_id, th) with these rows share one shuffle of the texts."""
+    return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Starts of the windows to remove: (doc_id, th, whole, starts), one row a document that has any.
 
@@ -90,7 +95,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     is judged on the input: it goes if its words also start in a document with a smaller doc_id. Rows without a
     doc_id neither lose words nor make others lose any; of a repeated row neither is smaller.
     """
-    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = _keyed(docs)
     outlined = rows.withColumn("o", _outline("text")).select("doc_id", "th", "o.*").filter(F.col("n_words") >= WINDOW)
     outlined = cut(outlined)
     firsts = outlined.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
@@ -102,7 +107,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = rows.join(cut(candidates), ["doc_id", "th"]).select("doc_id", "th", "text", "shared")
     windows = found.mapInPandas(_windows, "w1 long, w2 long, doc_id long, th long, start int")
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
-    removed = windows.join(earliest, ["w1", "w2"]).filter("doc_id > lo")
+    # with a key beyond the aggregation's, both sides are dealt for the join alone, and adaptive execution can split hot windows
+    one = F.xxhash64("w1", "w2")
+    removed = windows.withColumn("key", one).join(earliest.withColumn("key", one), ["key", "w1", "w2"]).filter("doc_id > lo")
     removed = removed.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
     return copies.select("doc_id", "th", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")).unionByName(removed.withColumn("whole", F.lit(False)))
 
@@ -134,9 +141,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_removed and kept, the words outside all repeats joined by one space. Null text: no words."""
     spans = repeats(docs.select("doc_id", "text"))
     spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.max("whole").alias("__whole"), F.max("starts").alias("__starts"))
-    joined = docs.join(spans, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left")
-    joined = joined.withColumn("__r", _remove("text", F.coalesce("__whole", F.lit(False)), "__starts"))
-    return joined.select(*[docs[c] for c in docs.columns], *[F.col(f"__r.{c}").alias(c) for c in ("n_words", "n_removed", "kept")])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    judged = _keyed(docs).withColumnRenamed("th", "__own") if not others else docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).withColumn("__own", F.xxhash64("text"))
+    joined = judged.join(spans, (judged["doc_id"] == spans["__id"]) & (judged["__own"] == spans["__th"]), "left")
+    rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).withColumns({"__whole": F.lit(False), "__starts": F.lit(None).cast("array<int>")})
+    every = joined.select(*docs.columns, F.coalesce("__whole", F.lit(False)).alias("__whole"), "__starts").unionByName(rest)
+    done = every.withColumn("__r", _remove("text", "__whole", "__starts"))
+    return done.select(*docs.columns, *[F.col(f"__r.{c}").alias(c) for c in ("n_words", "n_removed", "kept")])
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,11 +205,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with the score of each text (null: empty) as a column. The broadcast model has 2 ** ROW_BITS floats."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.bias))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score([t.encode() for t in texts.fillna("")]))
+        return pd.Series(Model(*shared.value).score([t.encode() for t in texts.fillna("")]))
 
     return docs.withColumn(name, score(F.col("text")))
 

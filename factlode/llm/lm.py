@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
+from ._common import cut
 
 #: Cells of the vocabulary and of the table of pairs, as powers of two.
 VOCABULARY_BITS = 16
@@ -27,8 +28,9 @@ PAIR_BITS = 20
 #: Weight of the bigram estimate beside the unigram one, and what is added to each unigram count.
 LAMBDA = 0.6
 ALPHA = 0.5
-#: The word before a text.
-START = 0
+#: Ids of target documents (some 16 bytes each) up to which they are broadcast; beyond, the join shuffles the texts.
+BROADCAST_IDS = 500_000
+#: What stands for the word before a text.
 _START_HASH = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -122,9 +124,15 @@ def with_scores(docs: DataFrame, target: Model, background: Model) -> DataFrame:
     return scored.select(*[docs[c] for c in docs.columns], *parts, (F.col("__s.target_loss") - F.col("__s.background_loss")).alias("score"))
 
 
+def of_ids(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Documents with one of the ids (doc_id), which are broadcast only if they are counted and few."""
+    ids = cut(ids.distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents; the target are those that labels marks with quality 1, the background all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
-    target, background = matched(docs.join(good, "doc_id", "left_semi"), docs)
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    target, background = matched(of_ids(docs, good), docs)
     return with_scores(docs, target, background).drop("text")

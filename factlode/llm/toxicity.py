@@ -25,13 +25,15 @@ MAX_LABELLED = 5000
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Texts are handled in groups of about so many bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Full-batch passes, the step, the scale of the mean and the decay of the vectors.
 PASSES = 120
 STEP = 0.02
 SCALE = 150.0
 DECAY = 3e-4
 SEED = 11
+#: Entries of the training matrix that are handled at once.
+PART = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[np.r_[0x30:0x3A, 0x61:0x7B, 0x80:0x100]] = True
@@ -156,11 +158,14 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << ROW_BITS, np.float32), 20.0 if len(y) and y[0] else -20.0)
     indptr, rows, weights = matrix(texts)
-    used, at = np.unique(rows, return_inverse=True)
-    at = at.astype(np.int32)
-    sizes = np.diff(indptr)
-    filled = np.flatnonzero(sizes)
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    present = np.zeros(1 << ROW_BITS, bool)
+    present[rows] = True
+    used = np.flatnonzero(present)
+    at = (np.cumsum(present, dtype=np.int32) - 1)[rows]
+    del rows
+    # whole texts in parts of about PART entries, so that what a pass makes in between stays small
+    cuts = np.unique(np.searchsorted(indptr, np.arange(0, indptr[-1] + PART, PART)).clip(0, len(y)))
+    parts = [(a, b, slice(indptr[a], indptr[b])) for a, b in zip(cuts, cuts[1:], strict=False) if indptr[b] > indptr[a]]
     rng = np.random.default_rng(SEED)
     embedding, output = rng.normal(0, 0.1, (len(used), WIDTH)), rng.normal(0, 0.5, (WIDTH, 2))
     bias = np.log([1 - y.mean(), y.mean()])
@@ -168,11 +173,17 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     for step in range(1, PASSES + 1):
         read = output[:, 1] - output[:, 0]
-        logit = np.zeros(len(y))
-        logit[filled] = np.add.reduceat(weights * (embedding @ read).astype(np.float32)[at], indptr[filled])
+        logit, row_value = np.zeros(len(y)), (embedding @ read).astype(np.float32)
+        for a, b, part in parts:
+            filled = a + np.flatnonzero(np.diff(indptr[a : b + 1]))
+            logit[filled] = np.add.reduceat(weights[part] * row_value[at[part]], indptr[filled] - indptr[a])
         logit = SCALE * logit + bias[1] - bias[0]
         error = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y) / len(y)
-        back = SCALE * np.bincount(at, weights * error.astype(np.float32)[owner], len(used))
+        back = np.zeros(len(used))
+        for a, b, part in parts:
+            spread = np.repeat(error[a:b], np.diff(indptr[a : b + 1]))
+            back += np.bincount(at[part], weights[part] * spread, len(used))
+        back *= SCALE
         toward = embedding.T @ back
         grads = (np.outer(back, read) + DECAY * embedding, np.stack([-toward, toward], 1), np.array([-error.sum(), error.sum()]))
         for value, (m, v), g in zip(values, moments, grads, strict=True):

@@ -6,7 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
+#: Rows of a batch that are turned into Python objects at once.
+SLICE = 256
 #: Texts are handled in groups of about so many bytes; a longer text is a group of its own.
 GROUP_BYTES = 1 << 20
 
@@ -112,3 +115,11 @@ def groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
             first, size = i + 1, 0
     if first < len(texts):
         yield first, texts[first:]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches in slices of a few rows, with one column's texts as bytes (null: empty)."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE):
+            rows = batch.slice(first, SLICE)
+            yield rows, [t or b"" for t in rows[column].cast(pa.binary()).to_pylist()]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,39 +48,34 @@ def outline(texts: list[bytes]) -> Iterator[tuple[int, int, int, np.ndarray]]:
             yield int(counts[i]), int(ends[0][i].view(np.int64)), int(ends[1][i].view(np.int64)), np.unique(low[bounds[i] : bounds[i + 1]]).view(np.int64)
 
 
-_OUTLINE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("anchors", T.ArrayType(T.LongType()))])
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In: doc_id, th, text. Out: doc_id, th, n_words, s1, s2, anchors."""
+    for rows, texts in _words.sliced(batches, "text"):
+        n, s1, s2, anchors = zip(*outline(texts), strict=True)
+        columns = [rows["doc_id"], rows["th"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n_words", "s1", "s2", "anchors"])
 
 
-@F.pandas_udf(_OUTLINE)
-def _outline(texts: pd.Series) -> pd.DataFrame:
-    rows = list(outline([t.encode() for t in texts]))
-    return pd.DataFrame(rows, columns=["n_words", "s1", "s2", "anchors"])
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(w1, w2, doc_id, th, start) of each window whose anchor is shared. In: doc_id, th, text, shared."""
-    for rows in batches:
-        texts = [t.encode() for t in rows["text"]]
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, th, w1, w2, start) of each window whose anchor is shared. In: doc_id, th, text, shared."""
+    for rows, texts in _words.sliced(batches, "text"):
+        shared = rows["shared"].to_pylist()
         for first, some in _words.groups(texts):
             w = _words.words(some, _words.SPACED)
             starts, low = _anchors(w)
             owner = w.owner[starts]
-            known = [np.sort(np.asarray(s, np.int64).view(np.uint64)) for s in rows["shared"].iloc[first : first + len(some)]]
             bounds = np.searchsorted(owner, np.arange(len(some) + 1))
             hit = np.zeros(len(starts), bool)
-            for i, k in enumerate(known):
+            for i in range(len(some)):
                 part = slice(bounds[i], bounds[i + 1])
-                at = np.minimum(np.searchsorted(k, low[part]), len(k) - 1)
-                hit[part] = k[at] == low[part]
+                hit[part] = np.isin(low[part], np.array(shared[first + i], np.int64).view(np.uint64))
             starts, owner = starts[hit], owner[hit]
             if not len(starts):
                 continue
             both = [_words.grams(w.hash, WINDOW, base)[starts].view(np.int64) for base in _words.BASES]
-            own = rows.iloc[first : first + len(some)]
-            yield pd.DataFrame({
-                "w1": both[0], "w2": both[1], "doc_id": own["doc_id"].to_numpy()[owner], "th": own["th"].to_numpy()[owner],
-                "start": (starts - w.first[owner]).astype(np.int32),
-            })
+            at = pa.array(first + owner)
+            columns = [rows["doc_id"].take(at), rows["th"].take(at), pa.array(both[0]), pa.array(both[1]), pa.array((starts - w.first[owner]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "w1", "w2", "start"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -96,8 +91,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     doc_id neither lose words nor make others lose any; of a repeated row neither is smaller.
     """
     rows = _keyed(docs)
-    outlined = rows.withColumn("o", _outline("text")).select("doc_id", "th", "o.*").filter(F.col("n_words") >= WINDOW)
-    outlined = cut(outlined)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    outlined = rows.mapInArrow(_outlines, f"doc_id {kind}, th long, n_words long, s1 long, s2 long, anchors array<long>")
+    outlined = cut(outlined.filter(F.col("n_words") >= WINDOW))
     firsts = outlined.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
     settled = outlined.join(firsts, ["s1", "s2"])
     copies = settled.filter(F.col("doc_id") > F.col("first")).select("doc_id", "th").distinct()
@@ -105,7 +101,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     candidates = seeds.join(shared, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("shared"))  # a document's own
     found = rows.join(cut(candidates), ["doc_id", "th"]).select("doc_id", "th", "text", "shared")
-    windows = found.mapInPandas(_windows, "w1 long, w2 long, doc_id long, th long, start int")
+    windows = found.mapInArrow(_windows, f"doc_id {kind}, th long, w1 long, w2 long, start int")
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
     # with a key beyond the aggregation's, both sides are dealt for the join alone, and adaptive execution can split hot windows
     one = F.xxhash64("w1", "w2")
@@ -114,27 +110,29 @@ def repeats(docs: DataFrame) -> DataFrame:
     return copies.select("doc_id", "th", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")).unionByName(removed.withColumn("whole", F.lit(False)))
 
 
-_KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+def without(text: bytes, whole: bool, starts: list[int] | None) -> tuple[int, int, bytes]:
+    """(n_words, n_removed, kept) of a text, with all words or those of the windows at starts gone."""
+    parts = text.split()
+    n = len(parts)
+    if whole:
+        return n, n, b""
+    if not starts:
+        return n, 0, b" ".join(parts)
+    depth, at = np.zeros(n + 1, np.int64), np.array(starts)
+    np.add.at(depth, at, 1)
+    np.add.at(depth, at + WINDOW, -1)
+    keep = np.cumsum(depth[:-1]) == 0
+    return n, int(n - keep.sum()), b" ".join(p for p, k in zip(parts, keep, strict=True) if k)
 
 
-@F.pandas_udf(_KEPT)
-def _remove(texts: pd.Series, whole: pd.Series, starts: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, every, at in zip(texts, whole, starts, strict=True):
-        parts = text.encode().split() if text else []
-        n = len(parts)
-        if every is True or every == 1:
-            out.append((n, n, ""))
-        elif at is None or not len(at):
-            out.append((n, 0, b" ".join(parts).decode()))
-        else:
-            depth = np.zeros(n + 1, np.int64)
-            at = np.asarray(at)
-            np.add.at(depth, at, 1)
-            np.add.at(depth, at + WINDOW, -1)
-            keep = np.cumsum(depth[:-1]) == 0
-            out.append((n, int(n - keep.sum()), b" ".join(p for p, k in zip(parts, keep, strict=True) if k).decode()))
-    return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but __whole and __starts, and n_words, n_removed, kept."""
+    for rows, texts in _words.sliced(batches, "text"):
+        done = map(without, texts, rows["__whole"].to_pylist(), rows["__starts"].to_pylist())
+        n, removed, kept = zip(*done, strict=True)
+        own = [c for c in rows.schema.names if c not in ("__whole", "__starts")]
+        columns = [rows[c] for c in own] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, [*own, "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -146,8 +144,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = judged.join(spans, (judged["doc_id"] == spans["__id"]) & (judged["__own"] == spans["__th"]), "left")
     rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).withColumns({"__whole": F.lit(False), "__starts": F.lit(None).cast("array<int>")})
     every = joined.select(*docs.columns, F.coalesce("__whole", F.lit(False)).alias("__whole"), "__starts").unionByName(rest)
-    done = every.withColumn("__r", _remove("text", "__whole", "__starts"))
-    return done.select(*docs.columns, *[F.col(f"__r.{c}").alias(c) for c in ("n_words", "n_removed", "kept")])
+    out = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())))])
+    return every.mapInArrow(_removed, out)
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ _SCORED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("t
 
 
 def with_scores(docs: DataFrame, target: Model, background: Model) -> DataFrame:
-    """docs with n_words, target_loss, background_loss (means per token) and score, their difference.
+    """docs with n_words, target_loss, background_loss (means per token) and score, their difference; columns of these names are replaced.
 
     A null or empty text has no words and zeros. The broadcast models have a fixed size, set by VOCABULARY_BITS and PAIR_BITS.
     """
@@ -120,8 +120,9 @@ def with_scores(docs: DataFrame, target: Model, background: Model) -> DataFrame:
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_words": [], "target_loss": [], "background_loss": []})
 
     scored = docs.withColumn("__s", score(F.col("text")))
-    parts = [F.col(f"__s.{c}").alias(c) for c in ("n_words", "target_loss", "background_loss")]
-    return scored.select(*[docs[c] for c in docs.columns], *parts, (F.col("__s.target_loss") - F.col("__s.background_loss")).alias("score"))
+    added = ("n_words", "target_loss", "background_loss", "score")
+    parts = [F.col(f"__s.{c}").alias(c) for c in added[:3]]
+    return scored.select(*[docs[c] for c in docs.columns if c not in added], *parts, (F.col("__s.target_loss") - F.col("__s.background_loss")).alias("score"))
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:

@@ -104,8 +104,8 @@ def mix(
 ) -> DataFrame:
     """Assign target words, words taken and the training position to every document, in order of position.
 
-    docs needs doc_id, text and source; columns named in carry come along. Returns doc_id, the carried columns, size, source_size, target,
-    taken and position (time 0..1 of the document's first word; null if nothing of it is taken). A source's
+    docs needs doc_id, text and source; columns named in carry come along, but for names that the result has itself. Returns doc_id,
+    the carried columns, size, source_size, target, taken and position (time 0..1 of the document's first word; null if nothing of it is taken). A source's
     reading order is md5 of doc_id, then xxhash64 of text. It is read around until floor(target) words are
     taken, so the last document of the last pass may be cut; taken counts repeats and is at most max_epochs times
     size. Null text: size 0. Null source: a source of its own, after all others. Null doc_id: ordered by
@@ -147,6 +147,7 @@ def mix(
         position = time if position is None else F.when(F.col("rank") % len(schedules) == r, time).otherwise(position)
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, F.round(position, 9)))
     out = placed.select("doc_id", "th", "size", "source_size", "target", "taken", "position")
+    carry = [c for c in carry if c not in out.columns]
     if carry:
         own = docs.select("doc_id", F.xxhash64("text").alias("th"), *[F.col(c) for c in carry])
         # a row that stands twice has two places of its own; number the twins on both sides

@@ -136,7 +136,11 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with n_words, n_removed and kept, the words outside all repeats joined by one space. Null text: no words."""
+    """docs with n_words, n_removed and kept, the words outside all repeats joined by one space. Null text: no words.
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("n_words", "n_removed", "kept")
     spans = repeats(docs.select("doc_id", "text"))
     spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.max("whole").alias("__whole"), F.max("starts").alias("__starts"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -135,7 +135,7 @@ def spans_of(text: Column, kind: int, name: str, pattern: str, found: Column, ke
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """Add base and spans, arrays of (start, end, kind, name) by start, then kind, and __text (null: empty).
 
-    base has the spans of the patterns, spans also those of the Markov models. All columns of docs stay.
+    base has the spans of the patterns, spans also those of the Markov models. All other columns of docs stay.
     """
     df = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     text = F.col("__text")
@@ -171,15 +171,17 @@ def redact(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, ma
         longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
         return F.when(F.size(acc) == 0, span).when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, span))
 
-    df = scan(docs, model, threshold)
+    # whole rows are set aside, so that no column of theirs can clash with what the scan adds
+    df = scan(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model, threshold)
     df = df.withColumn("__merged", F.aggregate("spans", F.lit([]).cast("array<struct<start:int,end:int>>"), merge))
     before = F.transform("__merged", lambda m, i: F.concat(F.substring(F.col("__text"), F.when(i == 0, 1).otherwise(F.get("__merged", i - 1)["end"] + 1), m["start"] - F.when(i == 0, 0).otherwise(F.get("__merged", i - 1)["end"])), F.lit(mask)))
     rest = F.substring(F.col("__text"), F.element_at("__merged", -1)["end"] + 1, F.char_length("__text"))
     changed = F.size("__merged") > 0
-    out = df.withColumn("text", F.when(changed, F.concat(F.array_join(before, ""), rest)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    df = df.withColumn("text", F.when(changed, F.concat(F.array_join(before, ""), rest)).otherwise(F.col("text")))
+    kept = {c: F.col(f"__row.{c}") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
+    return df.select(*[kept[c].alias(c) for c in docs.columns])
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:

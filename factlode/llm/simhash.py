@@ -113,9 +113,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, list_limit: int =
     """docs (any columns, with doc_id and text) with fp and component_id, the least doc_id reachable by links.
 
     Null and empty texts have fingerprint 0 and link like any other. Null doc_ids take part but never name a
-    component unless it has no other; repeated rows stay.
+    component unless it has no other; repeated rows stay. Columns named fp and component_id are replaced.
     """
-    marked = docs.withColumn("fp", fingerprint("text"))
+    marked = docs.drop("component_id").withColumn("fp", fingerprint("text"))
     firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(firsts.select("fp"), max_bits, list_limit))
     named = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))

@@ -94,8 +94,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     outlined = rows.mapInArrow(_outlines, f"doc_id {kind}, th long, n_words long, s1 long, s2 long, anchors array<long>")
     outlined = cut(outlined.filter(F.col("n_words") >= WINDOW))
-    firsts = outlined.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
-    settled = outlined.join(firsts, ["s1", "s2"])
+    one = F.xxhash64(F.lit(0), "s1", "s2")
+    # with a key beyond the aggregation's, both sides are dealt for the join alone, and adaptive execution can split hot groups
+    firsts = outlined.groupBy("s1", "s2").agg(F.min("doc_id").alias("first")).withColumn("key", one)
+    settled = outlined.withColumn("key", one).join(firsts, ["key", "s1", "s2"])
     copies = settled.filter(F.col("doc_id") > F.col("first")).select("doc_id", "th").distinct()
     seeds = settled.filter(F.col("doc_id") == F.col("first")).select("doc_id", "th", F.explode("anchors").alias("anchor"))
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
@@ -103,7 +105,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = rows.join(cut(candidates), ["doc_id", "th"]).select("doc_id", "th", "text", "shared")
     windows = found.mapInArrow(_windows, f"doc_id {kind}, th long, w1 long, w2 long, start int")
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
-    # with a key beyond the aggregation's, both sides are dealt for the join alone, and adaptive execution can split hot windows
     one = F.xxhash64("w1", "w2")
     removed = windows.withColumn("key", one).join(earliest.withColumn("key", one), ["key", "w1", "w2"]).filter("doc_id > lo")
     removed = removed.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))

@@ -23,7 +23,9 @@ MARKOV = "markov"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 0.5
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+#: Added to each character's count, and the weight of the characters' own shares in a pair's estimate.
 SMOOTHING = 0.5
+BACKOFF = 8.0
 MASK = "[SECRET]"
 
 # Ordinary identifiers and words, the samples of the second model.
@@ -92,13 +94,15 @@ def train(labelled: DataFrame) -> list[float]:
     pairs = F.transform(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get("c", i + 1).alias("b")))
     counted = tokens.select("random", F.explode(pairs).alias("p")).groupBy("random", "p.a", "p.b").count().collect()
     counts = {(r["random"], r["a"], r["b"]): r["count"] for r in counted}
-    out = []
-    for a in range(n):
-        total = {kind: sum(counts.get((kind, a, b), 0) for b in range(n)) + SMOOTHING * n for kind in (True, False)}
-        for b in range(n):
-            p, q = ((counts.get((kind, a, b), 0) + SMOOTHING) / total[kind] for kind in (True, False))
-            out.append(math.log(p / q))
-    return out
+
+    def rows(kind: bool) -> list[list[float]]:
+        """Probabilities of each next character, backed off to its share among all."""
+        table = [[counts.get((kind, a, b), 0) for b in range(n)] for a in range(n)]
+        share = [sum(row[b] for row in table) + SMOOTHING for b in range(n)]
+        whole = sum(share)
+        return [[(c + BACKOFF * share[b] / whole) / (sum(row) + BACKOFF) for b, c in enumerate(row)] for row in table]
+
+    return [math.log(p / q) for ps, qs in zip(rows(True), rows(False), strict=True) for p, q in zip(ps, qs, strict=True)]
 
 
 def likelihood_ratio(token: Column, model: list[float]) -> Column:

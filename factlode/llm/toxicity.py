@@ -21,16 +21,16 @@ ROW_BITS = 18
 WIDTH = 8
 GRAMS = (3, 4, 5)
 #: Labelled rows that the model is trained on at most: those with the least xxhash64 of doc_id.
-MAX_LABELLED = 5000
+MAX_LABELLED = 7000
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Texts are handled in groups of about so many bytes.
 CHUNK_BYTES = 1 << 18
-#: Full-batch passes, the step, the scale of the mean and the decay of the vectors.
+#: Full-batch passes, the first step, the scale of the mean and the decay of the vectors.
 PASSES = 120
 STEP = 0.02
 SCALE = 150.0
-DECAY = 3e-4
+DECAY = 2e-4
 SEED = 11
 #: Entries of the training matrix that are handled at once.
 PART = 1 << 20
@@ -119,8 +119,9 @@ def matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         all_weights.append(total.astype(np.float32))
         ends = np.searchsorted(key >> ROW_BITS, np.arange(1, len(some) + 1)) + indptr[-1]
         indptr.extend(ends.tolist())
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return np.array(indptr), cat(all_rows, np.int32), cat(all_weights, np.float32)
+    rows = np.concatenate([np.zeros(0, np.int32), *all_rows])
+    all_rows.clear()  # before the weights are copied too
+    return np.array(indptr), rows, np.concatenate([np.zeros(0, np.float32), *all_weights])
 
 
 @dataclass
@@ -172,6 +173,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     values = (embedding, output, bias)
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     for step in range(1, PASSES + 1):
+        rate = STEP * (1 - (step - 1) / PASSES)  # falls to nothing, so that the last passes settle
         read = output[:, 1] - output[:, 0]
         logit, row_value = np.zeros(len(y)), (embedding @ read).astype(np.float32)
         for a, b, part in parts:
@@ -189,7 +191,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
         for value, (m, v), g in zip(values, moments, grads, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            value -= STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     out = np.zeros(1 << ROW_BITS, np.float32)
     out[used] = SCALE * (embedding @ (output[:, 1] - output[:, 0]))
     return Model(out, float(bias[1] - bias[0]))

@@ -110,7 +110,7 @@ def op5_chat(spark, sf_dir: str) -> DataFrame:
     """Format all conversations and one with control strings in its texts, and read the output back."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     read = read_back(format_windows(turns.unionByName(extra)))
     loss = F.array_join("targets", "")
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

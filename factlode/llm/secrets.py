@@ -74,7 +74,7 @@ responsabilidad establecimiento desarrolladores inmediatamente organizaciones ca
 
 def samples(spark: SparkSession, randoms: int = 400) -> DataFrame:
     """Labelled samples (token, random): ordinary identifiers, and digests of counters in hexadecimal and base 64."""
-    ordinary = spark.createDataFrame([(w, False) for w in ORDINARY.split()], "token string, random boolean")
+    ordinary = spark.range(1).select(F.explode(F.split(F.trim(F.lit(" ".join(ORDINARY.split()))), " ")).alias("token"), F.lit(False).alias("random"))
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")).cast("binary"), 256)
     made = spark.range(randoms).select(F.when(F.col("id") % 3 == 0, digest).otherwise(F.base64(F.unhex(digest))).alias("token"), F.lit(True).alias("random"))
     return ordinary.unionByName(made)

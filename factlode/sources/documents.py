@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks, html
+from . import blocks, html, pdf
 
 # Parsers by priority (the least wins) with the media types that they claim.
 PRIORITIES = {"pdf": 10, "docx": 11, "xlsx": 12, "openapi": 20, "json-schema": 21, "sql": 30, "csv": 40, "html": 50, "markdown": 60, "text": 90}
@@ -419,7 +419,7 @@ def read_xlsx(data: bytes, out: blocks.Builder) -> None:
 
 
 READERS = {"markdown": read_markdown, "text": read_text, "csv": read_csv, "json-schema": read_json_schema, "openapi": read_openapi, "sql": read_sql, "html": html.read}
-BINARY = {"docx": read_docx, "xlsx": read_xlsx}
+BINARY = {"pdf": pdf.read, "docx": read_docx, "xlsx": read_xlsx}
 
 
 def parser_for(media: str, head: str) -> str | None:
@@ -439,10 +439,8 @@ def read_document(path: str, media: str, content: bytes) -> list[dict]:
     """Rows of one document through its parser, with the parser's name."""
     head = content[:65536].decode("utf-8", "replace")
     name = parser_for(media, head)
-    if name is None or name == "pdf":
-        encrypted = name == "pdf" and b"/Encrypt" in content
-        status = "encrypted" if encrypted else "unsupported"
-        rows = [r | {"status": status, "warning": "encrypted" if encrypted else f"no parser reads {media}"} for r in blocks.document(path, "", lambda t, o: None)]
+    if name is None:
+        rows = [r | {"status": "unsupported", "warning": f"no parser reads {media}"} for r in blocks.document(path, "", lambda t, o: None)]
     elif name in BINARY:
         rows = blocks.document(path, "", lambda _, o: BINARY[name](content, o))
     else:

@@ -134,6 +134,20 @@ def test_documents(spark):
     assert sorted(map(tuple, blocks.structure_hash(parsed).collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_pdf(spark):
+    import zlib
+
+    page = b"BT /F1 12 Tf (Hello \\(PDF\\)) Tj 0 -14 Td [(wor) -20 (ld)] TJ ET"
+    packed = zlib.compress(page)
+    head = b"%PDF-1.4\n"
+    files = [
+        ("a.pdf", head + b"1 0 obj <</Length 1>> stream\n" + page + b"\nendstream\n2 0 obj <</Filter /FlateDecode>> stream\n" + packed + b"\nendstream"),
+        ("b.pdf", head + b"1 0 obj <</Subtype /Image>> stream\nxx\nendstream"),
+    ]
+    got = documents.parse(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")).orderBy("path", "ordinal").collect()
+    assert [(r.path, r.status, r.content) for r in got] == [("a.pdf", "parsed", "Hello (PDF)\nworld"), ("a.pdf", "parsed", "Hello (PDF)\nworld"), ("b.pdf", "needs-ocr", None)]
+
+
 def test_manifests(spark):
     files = [
         ("requirements.txt", "fastapi>=0.1\n# c\n-r other\nredis[x]==2\n"), ("p/package.json", '{"dependencies": {"react": "1"}, "scripts": {"start": "x"}}'), ("pyproject.toml", '[project]\ndependencies = ["flask>1"]\n'),

@@ -208,3 +208,38 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every whole text of documents for licenses."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def _oracle_sql() -> str:
+    """DuckDB SQL for op9_licenses: grams as strings, islands of diagonals, covered words."""
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    words = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    phrases = ", ".join(f"({quote(p)}, {quote(label)}, {len(p.split())})" for p, label in PHRASES.items())
+    templates = ", ".join(f"({quote(label)}, {quote(text)})" for label, text in TEMPLATES.items())
+    return f"""
+WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+ph(phrase, label, n) AS (VALUES {phrases}),
+lens AS (SELECT DISTINCT n FROM ph),
+here AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, lens WHERE len(w) >= n),
+hit AS (SELECT doc_id, s, ph.label FROM here JOIN ph ON ph.n = here.n AND array_to_string(here.w[s + 1 : s + here.n], ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list(DISTINCT label) AS labels FROM hit GROUP BY 1),
+t(label, text) AS (VALUES {templates}),
+tw AS (SELECT label, {words('text')} AS w FROM t),
+tg AS (SELECT label, len(w) AS size, place, array_to_string(w[place + 1 : place + {GRAM}], ' ') AS gram FROM (SELECT label, w, unnest(range(0, len(w) - {GRAM - 1})) AS place FROM tw)),
+dg AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + {GRAM}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(0, len(w) - {GRAM - 1})) AS s FROM d WHERE len(w) >= {GRAM})),
+votes AS (SELECT DISTINCT doc_id, label, size, s - place AS diagonal, place FROM dg JOIN tg USING (gram)),
+diagonals AS (SELECT DISTINCT doc_id, label, diagonal FROM votes),
+opened AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > {DRIFT} THEN 1 ELSE 0 END AS opens FROM diagonals WINDOW o AS (PARTITION BY doc_id, label ORDER BY diagonal)),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, label ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM opened),
+covered AS (SELECT DISTINCT doc_id, label, size, island, unnest(range(place, place + {GRAM})) AS word FROM votes JOIN islands USING (doc_id, label, diagonal)),
+spans AS (SELECT doc_id, label, count(*) / CAST(any_value(size) AS DOUBLE) AS coverage FROM covered GROUP BY doc_id, label, island),
+own AS (SELECT doc_id, max(coverage) AS best, list(DISTINCT label) FILTER (coverage >= {COVERAGE}) AS labels FROM spans GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle_sql()

@@ -19,6 +19,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op3_repeats": repeats.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
     "op5_chat": chat.ORACLE_SQL,
+    "op9_licenses": licenses.ORACLE_SQL,
+    "op10_secrets": secrets.ORACLE_SQL,
 }

@@ -157,3 +157,18 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove repeated windows of 50 words from every whole text of documents."""
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM d WHERE len(w) >= 50),
+win AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 50], ' ') AS k FROM p),
+early AS (SELECT k, min(doc_id) AS lo, max(doc_id) AS hi FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM win JOIN early USING (k) WHERE doc_id > lo),
+g AS (SELECT doc_id, list(i) AS l, count(*) AS n FROM gone GROUP BY doc_id),
+x AS (SELECT d.doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d JOIN g USING (doc_id)),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS t FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i WHERE gone.i IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN g.n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.t, '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -198,3 +198,49 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
         F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+def _oracle_sql() -> str:
+    """DuckDB SQL for op10_secrets: the same patterns, samples and models, written as joins."""
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    kinds = [(k, name, p, group, least) for k, (name, p, group, least) in enumerate(KINDS)] + [(len(KINDS), MARKOV, CANDIDATE, 0, 0)]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind, {quote(name)} AS name, {least} AS least, regexp_extract_all(t, {quote(p)}) AS m, regexp_extract_all(t, {quote(p)}, {group}) AS g, regexp_split_to_array(t, {quote(p)}) AS between FROM d"
+        for k, name, p, group, least in kinds
+    )
+    size = lambda items: f"coalesce(list_sum(list_transform({items}, lambda x: length(x))), 0)"
+    chars = "list_filter(list_transform(string_split(token, ''), lambda c: strpos(" + quote(ALPHABET) + ", c) - 1), lambda i: i >= 0)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+e AS (SELECT doc_id, kind, name, least, m, g, between, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (
+  SELECT doc_id, kind, name, least, m[i] AS token, length(g[i]) AS measured, {size('between[1:i]')} + {size('m[1:i-1]')} AS a
+  FROM e),
+samples AS (
+  SELECT unnest(string_split({quote(' '.join(ORDINARY.split()))}, ' ')) AS token, false AS random
+  UNION ALL SELECT CASE WHEN i % 3 = 0 THEN sha256('sample ' || i) ELSE to_base64(unhex(sha256('sample ' || i))) END, true FROM range(400) r(i)),
+c AS (SELECT random, {chars} AS c FROM samples),
+n AS (SELECT random, c[j] AS a, c[j + 1] AS b, count(*) AS n FROM (SELECT random, c, unnest(range(1, len(c))) AS j FROM c) GROUP BY ALL),
+letters AS (SELECT unnest(range({len(ALPHABET)})) AS x),
+grid AS (SELECT r.random, l.x AS a, m.x AS b FROM (SELECT DISTINCT random FROM samples) r, letters l, letters m),
+full_n AS (SELECT g.random, g.a, g.b, coalesce(n.n, 0) AS n FROM grid g LEFT JOIN n USING (random, a, b)),
+share AS (SELECT random, b, sum(n) + {SMOOTHING} AS share FROM full_n GROUP BY 1, 2),
+whole AS (SELECT random, sum(share) AS whole FROM share GROUP BY 1),
+rows_n AS (SELECT random, a, sum(n) AS total FROM full_n GROUP BY 1, 2),
+p AS (SELECT random, a, b, (n + {BACKOFF} * CAST(share AS DOUBLE) / whole) / (total + {BACKOFF}) AS p FROM full_n JOIN share USING (random, b) JOIN whole USING (random) JOIN rows_n USING (random, a)),
+ratio AS (SELECT x.a, x.b, ln(x.p / y.p) AS r FROM p x JOIN p y ON x.a = y.a AND x.b = y.b WHERE x.random AND NOT y.random),
+tokens AS (SELECT token, {chars} AS c FROM (SELECT DISTINCT token FROM s WHERE name = {quote(MARKOV)})),
+scored AS (
+  SELECT token, sum(r) / greatest(count(*), 1) AS r FROM (SELECT token, c[j] AS a, c[j + 1] AS b FROM (SELECT token, c, unnest(range(1, len(c))) AS j FROM tokens)) JOIN ratio USING (a, b) GROUP BY token),
+kept AS (
+  SELECT s.doc_id, s.kind, s.name, CAST(a AS BIGINT) AS a, CAST(a + length(s.token) AS BIGINT) AS z FROM s LEFT JOIN scored ON scored.token = s.token
+  WHERE CASE WHEN name = {quote(MARKOV)} THEN r > {THRESHOLD} ELSE measured >= least END)
+SELECT d.doc_id, {', '.join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name, *_ in kinds[:-1])},
+       sha256(coalesce(string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (kind < {len(KINDS)}), '')) AS base_sha256,
+       coalesce(string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind), '') AS spans
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+ORACLE_SQL = _oracle_sql()

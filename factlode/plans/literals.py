@@ -205,7 +205,7 @@ ORACLES = {
         ('app/main.py', 'app.util', 'app/util.py', true), ('app/main.py', 'app.core.db', 'app/core/db.py', true), ('app/main.py', 'os', NULL, false), ('web/a.ts', './b', 'web/b.ts', true)) v(path, target, to_path, internal)""",
     "structure_calls": """SELECT * FROM (VALUES ('src/orders/OrderService.java', 'app/core/db.py', 'payNow', true), ('src/orders/OrderService.java', 'web/b.ts', 'payNow', true), ('src/orders/OrderService.java', 'app/util.py', 'helper', false),
         ('src/pay/PayClient.java', 'src/orders/OrderService.java', 'OrderService', false), ('app/main.py', 'app/core/db.py', 'open_db', false), ('web/a.ts', 'web/b.ts', 'b', false)) v(from_path, to_path, symbol, ambiguous)""",
-    "structure_modules": """SELECT * FROM (VALUES ('src/orders', 'src/pay', 1), ('src/orders', 'app/core', 1), ('src/orders', 'web', 1), ('src/orders', 'app', 1), ('src/pay', 'src/orders', 1), ('app', 'app/core', 2)) v(from_module, to_module, weight)""",
+    "structure_modules": """SELECT * FROM (VALUES ('src/orders', 'src/pay', 1::BIGINT), ('src/orders', 'app/core', 1), ('src/orders', 'web', 1), ('src/orders', 'app', 1), ('src/pay', 'src/orders', 1), ('app', 'app/core', 2)) v(from_module, to_module, weight)""",
     "structure_entries": "SELECT 'src/orders/OrderService.java' AS path, 'main' AS kind, 7 AS line",
     "graph_projection": """SELECT 'component:' || a AS source, CASE WHEN t = 'contains' THEN 'symbol:' ELSE 'component:' END || b AS target, t AS type, CASE WHEN t = 'calls' THEN 'inferred' ELSE 'explicit' END AS state, c AS confidence FROM (VALUES
         ('src/orders/OrderService.java', 'src/orders/OrderService.java#OrderService', 'contains', 'high'), ('src/pay/PayClient.java', 'src/pay/PayClient.java#PayClient', 'contains', 'high'), ('app/main.py', 'app/main.py#run', 'contains', 'high'),
@@ -231,7 +231,7 @@ ORACLES = {
     "overlay_merge": "SELECT * FROM (VALUES ('k1', 'one'), ('k2', 'zwei'), ('k4', 'four')) v(key, name)",
     "import_decisions": "SELECT * FROM (VALUES ('same.md', 'duplicate', 'doc-a'), ('next.md', 'new_revision', 'doc-a'), ('own.md', 'new_asset', 'doc-z'), ('doc-b', 'possible_revision', 'doc-b'), ('new.md', 'new_asset', 'new.md')) v(name, decision, asset_key)",
     "promotion_gate": "SELECT * FROM (VALUES (1, ''), (2, 'not-confirmed,not-active,not-verified,unsupported-kind,stale-source,no-evidence'), (3, 'missing-evidence'), (4, 'already-promoted')) v(candidate_id, blocked)",
-    "budget_merge": "SELECT * FROM (VALUES ('requests', 100, true), ('tokens', 5, false)) v(name, value, refused)",
+    "budget_merge": "SELECT * FROM (VALUES ('requests', 100::BIGINT, true), ('tokens', 5, false)) v(name, value, refused)",
     "gap_reconcile": "SELECT * FROM (VALUES ('a', NULL, 'open'), ('b', 'open', 'open'), ('c', 'accepted', 'open'), ('d', 'dismissed', 'dismissed'), ('e', 'open', 'resolved'), ('f', 'dismissed', 'stale'), ('g', 'accepted', 'resolved')) v(detection_fingerprint, before, after)",
     "decisions": "SELECT * FROM (VALUES ('a', 'supersede', 'active', 'superseded', true), ('a', 'withdraw', 'active', NULL, false), ('b', 'withdraw', 'withdrawn', NULL, false), ('z', 'withdraw', NULL, NULL, false)) v(id, decision, before, after, accepted)",
     "heading_paths": "SELECT * FROM (VALUES (1, ''), (2, 'A'), (3, 'A'), (4, 'A/B'), (5, 'A'), (6, 'A/D'), (7, ''), (8, 'E')) v(n, path)",

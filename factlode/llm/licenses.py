@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,15 +80,15 @@ def template_grams(templates: dict[str, str]) -> list[tuple[int, str, int, int]]
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def rolling(texts: pd.Series) -> pd.Series:
-    """All rolling gram hashes of a text, by position."""
-    out: list[np.ndarray] = []
-    for _, some in _words.groups([t.encode() for t in texts]):
-        w = _split(some)
-        hashes = _words.grams(w.hash, GRAM).view(np.int64)
-        out += [hashes[a : max(a, b - GRAM + 1)] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-    return pd.Series(out, dtype=object)
+def _rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rolling gram hashes of a text, by position. In: doc_id, th, text. Out: doc_id, th, grams."""
+    for rows, texts in _words.sliced(batches, "text"):
+        out: list[np.ndarray] = []
+        for _, some in _words.groups(texts):
+            w = _split(some)
+            hashes = _words.grams(w.hash, GRAM).view(np.int64)
+            out += [hashes[a : max(a, b - GRAM + 1)] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["th"], pa.array(out, pa.list_(pa.int64()))], ["doc_id", "th", "grams"])
 
 
 def phrase_places(w: _words.Words, phrases: dict[str, str]) -> dict[str, np.ndarray]:
@@ -110,28 +111,22 @@ def phrase_places(w: _words.Words, phrases: dict[str, str]) -> dict[str, np.ndar
     return out
 
 
-_BASE = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()), T.StructField("first_word", T.LongType()),
-    T.StructField("last_word", T.LongType()), T.StructField("base", T.ArrayType(T.StringType())),
-])
-
-
-@F.pandas_udf(_BASE)
-def base_scan(texts: pd.Series) -> pd.DataFrame:
-    """Number of words, places of PHRASES with the least and largest start, and their distinct sorted labels."""
-    rows: list[tuple] = []
-    for _, some in _words.groups([t.encode() for t in texts]):
-        w = _split(some)
-        found: dict[int, list[tuple[int, str]]] = {}
-        for phrase, places in phrase_places(w, PHRASES).items():
-            for text, at in zip(np.searchsorted(w.first, places, "right") - 1, places, strict=True):
-                found.setdefault(int(text), []).append((int(at - w.first[text]), PHRASES[phrase]))
-        for i, n in enumerate(np.diff(w.first).tolist()):
-            at = found.get(i, [])
-            starts = [a for a, _ in at]
-            rows.append((n, len(at), min(starts, default=None), max(starts, default=None), sorted({label for _, label in at})))
-    out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base"])
-    return out.astype({"first_word": "Int64", "last_word": "Int64"})
+def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words, places of PHRASES with the least and largest start, and their distinct sorted labels. In: doc_id, th, text."""
+    for rows, texts in _words.sliced(batches, "text"):
+        out: list[tuple] = []
+        for _, some in _words.groups(texts):
+            w = _split(some)
+            found: dict[int, list[tuple[int, str]]] = {}
+            for phrase, places in phrase_places(w, PHRASES).items():
+                for text, at in zip(np.searchsorted(w.first, places, "right") - 1, places, strict=True):
+                    found.setdefault(int(text), []).append((int(at - w.first[text]), PHRASES[phrase]))
+            for i, n in enumerate(np.diff(w.first).tolist()):
+                starts = [a for a, _ in found.get(i, [])]
+                out.append((n, len(starts), min(starts, default=None), max(starts, default=None), sorted({label for _, label in found.get(i, [])})))
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.string())]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["th"], *columns], ["doc_id", "th", "n_words", "n_base", "first_word", "last_word", "base"])
 
 
 def votes(texts: DataFrame, templates: dict[str, str]) -> DataFrame:
@@ -144,7 +139,9 @@ def votes(texts: DataFrame, templates: dict[str, str]) -> DataFrame:
     if not grams:
         grams = [(0, "", -1, 0)]
     table = texts.sparkSession.createDataFrame(grams, "gram long, label string, place int, size int").filter("place >= 0")
-    spread = texts.select("doc_id", "th", F.posexplode(rolling("text")).alias("at", "gram"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rolled = texts.select("doc_id", "th", "text").mapInArrow(_rolling, f"doc_id {kind}, th long, grams array<long>")
+    spread = rolled.select("doc_id", "th", F.posexplode("grams").alias("at", "gram"))
     met = spread.join(F.broadcast(table), "gram")
     return met.groupBy("doc_id", "th", "label", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
 
@@ -197,7 +194,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
         F.max("coverage").alias("best"),
         F.collect_set(F.when(F.col("coverage") >= coverage, F.col("label"))).alias("own"),
     )
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), base_scan(F.coalesce("text", F.lit(""))).alias("b")).select("doc_id", "th", "b.*")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    base = texts.mapInArrow(_base, f"doc_id {kind}, th long, n_words long, n_base long, first_word long, last_word long, base array<string>")
     joined = base.join(best, base["doc_id"].eqNullSafe(best["__id"]) & (base["th"] == best["__th"]), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))

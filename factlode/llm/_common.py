@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_folder
+
+__all__ = ["PLAIN_WORD", "SPACED_WORD", "ascii_lower", "cut", "n_parts", "prefix_sums", "shared_folder", "table"]
+
 #: Words between ASCII white space, and words of digits, lower-case a-z and non-ASCII characters.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -17,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only a local session without it gets a temporary one."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="factlode-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df through a reliable checkpoint in the session's shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, and no other letter; texts of ASCII alone take the fast path."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_folder
 
-__all__ = ["PLAIN_WORD", "SPACED_WORD", "ascii_lower", "cut", "n_parts", "prefix_sums", "shared_folder", "table"]
+__all__ = ["SPACED_WORD", "ascii_lower", "cut", "n_parts", "prefix_sums", "shared_folder"]
 
-#: Words between ASCII white space, and words of digits, lower-case a-z and non-ASCII characters.
+#: Words between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(text: Column) -> Column:

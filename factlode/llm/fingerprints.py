@@ -16,6 +16,8 @@ from ._common import SPACED_WORD, n_parts
 K = 128
 SHINGLE = 5
 BITS = 32
+#: Ids sampled for each range of doc_id, whose borders they give.
+SAMPLED = 64
 
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE, bits: int = BITS) -> Column:
@@ -88,13 +90,16 @@ def with_next(docs: DataFrame, carried: Sequence[str], buckets: int | None = Non
     """Add next_<column> from the row with the next larger doc_id; after the last comes the first.
 
     docs needs doc_id and __order, which orders rows of one doc_id. Null doc_ids come last. Rows are dealt into
-    ranges of doc_id between approximate quantiles; each range also receives the head of the following one, so
+    ranges of doc_id between approximate quantiles of a sample of them; each range also receives the head of the following one, so
     one shuffle and one window per range are enough whatever the ids look like.
     """
     n = buckets or 4 * n_parts(docs)
     n = min(n, 65536)
-    found = docs.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10000, 20 * n)).alias("q")).first()
-    bounds = sorted({found.least, *(found.q or [])} - {None})
+    whole = docs.agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("rows")).first()
+    # the ranges need only be about even, so their borders come from a bounded sample of the ids, as in a range shuffle
+    some = docs.select("doc_id").sample(min(1.0, SAMPLED * n / max(1, whole.rows)), 7)
+    marks = some.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], SAMPLED * n).alias("q")).first()
+    bounds = sorted({whole.least, *(marks.q or [])} - {None})
     cells = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
     steps = [2**i for i in reversed(range(max(1, len(bounds)).bit_length()))]
 

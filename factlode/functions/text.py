@@ -57,9 +57,14 @@ def slice_lines(text: Column, start: Column, end: Column) -> Column:
     return F.transform(F.array(lines(text)), of)[0]
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def excerpt(text: Column, most: int = 400) -> Column:
     """Without leading comment header lines, trimmed, cut."""
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^(// [^\n]*\n)+", "")), 1, most)
+    return F.substring(strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"^(// [^\n]*\n)+", "")), 1, most)
 
 
 def collapse(text: Column) -> Column:

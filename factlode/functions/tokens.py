@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # What counts as an identifier, a dotted literal, and a query that is one token.
 IDENTIFIER = r"[A-Za-z0-9_]+"
 DOTTED = r"[A-Za-z0-9_]+(?:[.\-][A-Za-z0-9_]+)+"
@@ -35,8 +37,8 @@ def _all(text: Column, pattern: str) -> Column:
 
 def strip_quotes(text: Column) -> Column:
     """Without surrounding blanks, double quotes, single quotes."""
-    inner = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r'^"+|"+$', "")
-    return F.trim(F.regexp_replace(inner, r"^'+|'+$", ""))
+    inner = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r'^"+|"+$', "")
+    return strip(F.regexp_replace(inner, r"^'+|'+$", ""))
 
 
 def identifier_tokens(text: Column) -> Column:

@@ -122,3 +122,33 @@ def conflict_impact(before: DataFrame, after: DataFrame) -> DataFrame:
     """Conflicts (dedup_key) of two sides: introduced, resolved or persisting."""
     j = before.select(F.col("dedup_key").alias("b")).distinct().join(after.select(F.col("dedup_key").alias("a")).distinct(), F.col("a") == F.col("b"), "full_outer")
     return j.select(F.coalesce("a", "b").alias("dedup_key"), F.when(F.col("b").isNull(), "introduced").when(F.col("a").isNull(), "resolved").otherwise("persisting").alias("impact"))
+
+
+def ancestors(commits: DataFrame, heads: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(head, commit) of all commits (commit, parent) that lead to the heads (head), themselves included.
+
+    The reach doubles each round, so a history of n commits in a row takes about log2(n) rounds.
+    """
+    from ..session import cut
+
+    links = commits.filter("parent is not null").select("commit", "parent").distinct()
+    seen = heads.select("head", F.col("head").alias("commit")).distinct()
+    steps = links.select(F.col("commit").alias("a"), F.col("parent").alias("b"))
+    count = seen.count()
+    for _ in range(max_rounds):
+        seen = cut(seen.unionByName(seen.join(steps, F.col("commit") == F.col("a")).select("head", F.col("b").alias("commit"))).distinct())
+        now = seen.count()
+        if now == count:
+            return seen
+        count = now
+        longer = steps.alias("x").join(steps.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+        steps = cut(steps.unionByName(longer).distinct())
+    raise RuntimeError(f"no end after {max_rounds} rounds")
+
+
+def reconcile(overlays: DataFrame, commits: DataFrame) -> DataFrame:
+    """Overlays (overlay_id, head, target, clean) with their state: merged if the head is among the target's ancestors and the tree is clean, else ready."""
+    reach = ancestors(commits, overlays.select(F.col("target").alias("head")).distinct())
+    hit = reach.select(F.col("head").alias("target"), F.col("commit").alias("head")).withColumn("__in", F.lit(True))
+    j = overlays.join(hit, ["target", "head"], "left")
+    return j.select("overlay_id", F.when(F.col("__in") & F.col("clean"), "merged").otherwise("ready").alias("state"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def line_ranges(pairs: DataFrame) -> DataFrame:
     """Ranges of lines that differ between before and after (path, before, after): (path, side, start, count); sides of no lines are left out."""
@@ -40,3 +42,15 @@ def raw_changes(raw: DataFrame) -> DataFrame:
         part(1).alias("old_mode"), part(2).alias("new_mode"), part(3).alias("old_blob"), part(4).alias("new_blob"), names[part(5)].alias("change"), part(6).cast("int").alias("similarity"), part(7).alias("first"), part(8).alias("second")
     )
     return out.select("old_mode", "new_mode", "old_blob", "new_blob", "change", "similarity", F.when(F.col("change") != "added", F.col("first")).alias("path_before"), F.when(F.col("change") != "deleted", F.coalesce("second", "first")).alias("path_after"))
+
+
+def head(files: DataFrame) -> DataFrame:
+    """(branch, commit) of a repository from its files below .git (path, text): HEAD and the loose or packed refs."""
+    at = files.filter("path = 'HEAD'").select(strip(F.col("text")).alias("h"))
+    at = at.select(F.regexp_extract("h", r"^ref: (\S+)$", 1).alias("ref"), F.regexp_extract("h", "^([0-9a-f]{40,64})$", 1).alias("own"))
+    loose = files.select(F.col("path").alias("name"), strip(F.col("text")).alias("sha")).filter(F.col("sha").rlike("^[0-9a-f]{40,64}$")).withColumn("n", F.lit(0))
+    packed = files.filter("path = 'packed-refs'").select(F.explode(F.split("text", "\n")).alias("l")).filter(F.col("l").rlike("^[0-9a-f]{40,64} "))
+    packed = packed.select(F.split("l", " ")[1].alias("name"), F.split("l", " ")[0].alias("sha"), F.lit(1).alias("n"))
+    refs = loose.unionByName(packed).groupBy("name").agg(F.min_by("sha", "n").alias("sha"))
+    j = at.join(refs, F.col("ref") == F.col("name"), "left")
+    return j.select(F.nullif(F.regexp_replace("ref", "^refs/heads/", ""), F.lit("")).alias("branch"), F.coalesce(F.nullif("own", F.lit("")), "sha").alias("commit"))

@@ -27,11 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factlode-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    return str(sc.getCheckpointDir())
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,11 +44,13 @@ def commit_batch(ledger: str) -> Callable[[DataFrame, int], None]:
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
     """All revisions; an empty frame before the first batch."""
-    schema = "path string, sequence long, content_hash string, text string, observed timestamp"
-    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema + ", batch long")
-    return spark.read.schema(schema + ", batch long").option("basePath", ledger).parquet(ledger)
+    schema = "path string, sequence long, content_hash string, text string, observed timestamp, batch long"
+    try:
+        return spark.read.schema(schema).option("basePath", ledger).parquet(ledger)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def run(spark: SparkSession, folder: str, ledger: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -54,7 +54,8 @@ def targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int = 3) -> Da
         (F.sum("source_size").over(everything) - F.coalesce(F.sum("bound").over(before), F.lit(0))).alias("left_total"),
         (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("left_weight"),
     )
-    table = table.withColumn("open", F.col("left_total") * F.col("weight") < F.col("bound") * F.col("left_weight"))
+    exact = lambda c: F.col(c).cast("decimal(18,0)")  # noqa: E731  the product of two sums may not fit a long
+    table = table.withColumn("open", exact("left_total") * exact("weight") < exact("bound") * exact("left_weight"))
     first = F.min(F.when(F.col("open"), F.struct((F.col("bound") / F.col("weight")).alias("ratio"), "rank", "left_total", "left_weight"))).over(everything)
     table = table.withColumn("level", first)
     target = F.when(

@@ -18,7 +18,8 @@ def token_search(docs: DataFrame, term: str, limit: int = MOST, case_sensitive:
     """Documents with a whole token, most occurrences first: doc_id, hits, first_token (ordinal from 1)."""
     wanted = tokens.clean(term) if case_sensitive else tokens.clean(term).lower()
     held = F.coalesce("text", F.lit(""))
-    near = docs.filter((held if case_sensitive else F.lower(held)).contains(wanted))
+    # on the bare column, so that the substring test reaches the scan; a null text can't match
+    near = docs.filter((F.col("text") if case_sensitive else F.lower("text")).contains(wanted))
     every = F.regexp_extract_all(held, F.lit(tokens.DOTTED if tokens.is_dotted(wanted) else tokens.IDENTIFIER), F.lit(0))
     found = near.select("doc_id", (every if case_sensitive else F.transform(every, lambda t: F.lower(t))).alias("tokens"))
     found = found.select("doc_id", F.size(F.filter("tokens", lambda t: t == wanted)).cast("long").alias("hits"), F.array_position("tokens", wanted).alias("first_token"))
@@ -29,8 +30,7 @@ def lexical_rank(docs: DataFrame, terms: Sequence[str], limit: int = 50, case_se
     """Documents by the number of distinct terms that they hold as whole tokens: doc_id, hits."""
     near = F.lit(False)
     for t in terms:
-        body = F.coalesce("text", F.lit(""))
-        near = near | (body.contains(t) if case_sensitive else F.lower(body).contains(t.lower()))
+        near = near | (F.col("text").contains(t) if case_sensitive else F.lower("text").contains(t.lower()))
     hits = sum((tokens.matches_term(F.col("text"), t, case_sensitive).cast("long") for t in terms), F.lit(0))
     return docs.filter(near).select("doc_id", hits.cast("long").alias("hits")).filter("hits > 0").orderBy(F.desc("hits"), "doc_id").limit(limit)
 

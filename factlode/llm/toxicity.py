@@ -21,7 +21,7 @@ ROW_BITS = 18
 WIDTH = 8
 GRAMS = (3, 4, 5)
 #: Labelled rows that the model is trained on at most: those with the least xxhash64 of doc_id.
-MAX_LABELLED = 7000
+MAX_LABELLED = 5000
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Texts are handled in groups of about so many bytes.

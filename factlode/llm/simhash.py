@@ -72,9 +72,9 @@ def forest(members: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int
 
 
 def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Edges (a, b) with the components of all links within max_bits (at most 4). fingerprints: distinct (fp)."""
-    if max_bits > 4:
-        raise ValueError("four shared bytes are guaranteed up to 4 bits")
+    """Edges (a, b) with the components of all links within max_bits (0, 2 or 4). fingerprints: distinct (fp)."""
+    if max_bits not in (0, 2, 4):
+        raise ValueError("four shared bytes are guaranteed up to 4 bits, and points halfway need an even number")
     masks = [sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(8), 4)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     cells = F.array(*[F.struct(F.lit(i).cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
@@ -94,11 +94,10 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, list_limit: int = L
 
     near = short.select(F.explode(search("members")).alias("e")).select("e.*").distinct()
     long_members = listed.filter(F.col("n") > list_limit).select("fp").distinct()
-    half = (max_bits + 1) // 2
+    half = max_bits // 2
     flips = [sum(1 << b for b in chosen) for size in range(half + 1) for chosen in combinations(range(64), size)]
     points = F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in flips)), ",").cast("array<bigint>")
     around = long_members.select("fp", F.explode(points).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    # members at one point are within 2 * half bits of each other; an odd max_bits is verified below by its own search
     around = around.withColumn("least", F.min("fp").over(Window.partitionBy("point"))).filter("least <> fp")
     return near.unionByName(around.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct())
 

@@ -108,13 +108,11 @@ def fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t.encode()) if t else 0 for t in texts], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """docs (any columns, with doc_id and text) with fp and component_id, the least doc_id reachable by links.
+def with_components(marked: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """Rows with doc_id and fp, and component_id, the least doc_id reachable by links.
 
-    Null and empty texts have fingerprint 0 and link like any other. Null doc_ids take part but never name a
-    component unless it has no other; repeated rows stay. Columns named fp and component_id are replaced.
+    Null doc_ids take part but never name a component unless it has no other; repeated rows stay.
     """
-    marked = docs.drop("component_id").withColumn("fp", fingerprint("text"))
     firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(firsts.select("fp"), max_bits, list_limit))
     named = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -123,6 +121,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, list_limit: int =
     return marked.join(lookup, marked["fp"] == lookup["__fp"]).drop("__fp")
 
 
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """docs (any columns, with doc_id and text) with fp and component_id; see with_components.
+
+    Null and empty texts have fingerprint 0 and link like any other. Columns named fp and component_id are replaced.
+    """
+    return with_components(docs.drop("component_id").withColumn("fp", fingerprint("text")), max_bits, list_limit)
+
+
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group of near-duplicates, that with the least doc_id, with all its columns.
 
@@ -142,5 +148,7 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every whole text of documents."""
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # the fingerprints are kept without the texts, as both the links and the result need them
+    found = with_components(cut(docs.select("doc_id", fingerprint("text").alias("fp"))))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

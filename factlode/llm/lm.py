@@ -1,11 +1,11 @@
 """LM scoring by cross-entropy difference.
 
-Two word-bigram models, one of target documents and one of all documents, share one hashed vocabulary, one table of
-hashed pairs and one smoothing, and their counts are scaled to the same total. A document's score is the mean over its
-tokens of the target model's loss less the background model's; lower is closer to the target.
+Two word-bigram models, one of target documents and one of all documents, share one table of counts and one smoothing,
+and their counts are scaled to the same total. A document's score is the mean over its tokens of the target model's
+loss less the background model's; lower is closer to the target.
 
-The tables have a fixed number of cells, so the models can be broadcast whatever the size of the corpus; the counts in
-them cover every token of every document.
+The table has a row for every distinct word, context and pair, by 62-bit hashes, and grows with the corpus. Its most
+frequent rows, counted against a limit, are broadcast; each text asks a join for its other words, contexts and pairs.
 """
 
 from __future__ import annotations
@@ -14,115 +14,193 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import _words
 from ._common import cut
 
-#: Cells of the vocabulary and of the table of pairs, as powers of two.
+#: The least vocabulary that smoothing assumes, as a power of two; a larger one counts as it is.
 VOCABULARY_BITS = 16
-PAIR_BITS = 20
 #: Weight of the bigram estimate beside the unigram one, and what is added to each unigram count.
 LAMBDA = 0.6
 ALPHA = 0.5
 #: Ids of target documents (some 16 bytes each) up to which they are broadcast; beyond, the join shuffles the texts.
 BROADCAST_IDS = 500_000
+#: Rows of the table (24 bytes each) that are broadcast at most; all others are joined.
+BROADCAST_ROWS = 1 << 21
+#: Keys that a task counts at once, and rows of a batch that goes to Spark.
+KEYS = 1 << 22
+BATCH = 1 << 16
 #: What stands for the word before a text.
 _START_HASH = np.uint64(0x5851F42D4C957F2D)
+#: The last two bits of a key: words, contexts, pairs.
+WORD, CONTEXT, PAIR = 0, 1, 2
+
+
+def _keys(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return ((hashes & ~np.uint64(3)) | np.uint64(kind)).view(np.int64)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, previous, pair, owner): vocabulary cells, the cells before them, pair cells, and the text of each token."""
+    """(word, before, pair, owner): keys of each token, of the context before it and of both, and the text of each token."""
     w = _words.words([t.lower() for t in texts], _words.SPACED)
     before = np.empty_like(w.hash)
     before[1:] = w.hash[:-1]
     heads = w.first[:-1][np.diff(w.first) > 0]
     before[heads] = _START_HASH
-    shrink = np.uint64(64 - VOCABULARY_BITS)
-    pair = _words.mix(w.hash + before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)
-    return (w.hash >> shrink).astype(np.int64), (before >> shrink).astype(np.int64), pair.astype(np.int64), w.owner
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(cell, n) of the rows of one task: words first, then contexts, then pairs, each in its own range of cells."""
-    size = 1 << VOCABULARY_BITS
-    total = np.zeros(2 * size + (1 << PAIR_BITS), np.int64)
-    for rows in batches:
-        for _, some in _words.groups([t.encode() for t in rows["text"]]):
-            word, before, pair, _ = tokens(some)
-            total[:size] += np.bincount(word, minlength=size)
-            total[size : 2 * size] += np.bincount(before, minlength=size)
-            total[2 * size :] += np.bincount(pair, minlength=1 << PAIR_BITS)
-    filled = np.flatnonzero(total)
-    yield pd.DataFrame({"cell": filled.astype(np.int32), "n": total[filled]})
-
-
-def counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all tokens of docs.text. Each task sends its filled cells, Spark adds them up, and the fixed-size table comes to the driver."""
-    texts = docs.filter(F.col("text").isNotNull()).select("text")
-    added = texts.mapInPandas(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((2 << VOCABULARY_BITS) + (1 << PAIR_BITS), np.float64)
-    out[added["cell"].to_numpy()] = added["n"].to_numpy()
-    return out
+    pair = _words.mix(w.hash + before * np.uint64(0x9E3779B97F4A7C15))
+    return _keys(w.hash, WORD), _keys(before, CONTEXT), _keys(pair, PAIR), w.owner
 
 
-@dataclass
-class Model:
-    """Counts scaled to a common total."""
+def _batches(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    size = len(next(iter(columns.values())))
+    for first in range(0, size, BATCH):
+        yield pa.RecordBatch.from_pydict({name: pa.array(c[first : first + BATCH]) for name, c in columns.items()})
 
-    word: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
 
-    @classmethod
-    def of(cls, table: np.ndarray, total: float) -> Model:
-        size = 1 << VOCABULARY_BITS
-        scaled = (table * (total / max(1.0, table[:size].sum()))).astype(np.float32)
-        return cls(scaled[:size], scaled[size : 2 * size], scaled[2 * size :])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of the texts of one task, added up over KEYS keys at a time."""
+    def added() -> Iterator[pa.RecordBatch]:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return _batches(key=key, n=n.astype(np.int64))
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Negative log probability of each token."""
-        base = (self.word[word].astype(np.float64) + ALPHA) / (float(self.word.sum(dtype=np.float64)) + ALPHA * len(self.word))
-        seen = self.context[before].astype(np.float64)
-        share = np.minimum(self.pair[pair] / np.where(seen > 0, seen, 1.0), 1.0)
-        return -np.log(np.where(seen > 0, LAMBDA * share + (1 - LAMBDA) * base, base))
+    held: list[np.ndarray] = []
+    for _, texts in _words.sliced(batches, "text"):
+        for _, some in _words.groups(texts):
+            held += tokens(some)[:3]
+            if sum(map(len, held)) >= KEYS:
+                yield from added()
+                held = []
+    if held:
+        yield from added()
 
 
-def matched(target: DataFrame, background: DataFrame) -> tuple[Model, Model]:
-    """Models of two corpora over the shared tables, both scaled to the target's number of tokens."""
-    t, b = counts(target), counts(background)
-    total = float(t[: 1 << VOCABULARY_BITS].sum())
-    return Model.of(t, total), Model.of(b, total)
+def counts(docs: DataFrame) -> DataFrame:
+    """(key, n): parts of the counts of all words, contexts and pairs of docs.text, to be added up by key."""
+    return docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(_count, "key long, n long")
 
 
-_SCORED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType())])
+@dataclass
+class Model:
+    """One column of the table of counts (key, target, background), with its number of tokens, the common total and the vocabulary."""
+
+    table: DataFrame
+    column: str
+    tokens: float
+    total: float
+    vocabulary: int
+
 
+def losses(word: np.ndarray, before: np.ndarray, pair: np.ndarray, n_tokens: float, total: float, vocabulary: int) -> np.ndarray:
+    """Negative log probability of tokens whose word, context and pair have these counts; the counts are scaled to total."""
+    scale = total / max(1.0, n_tokens)
+    base = (word * scale + ALPHA) / ((total if n_tokens else 0.0) + ALPHA * vocabulary)
+    seen = (before > 0) & (scale > 0)
+    share = pair / np.where(before > 0, before, 1)
+    return -np.log(np.where(seen, LAMBDA * share + (1 - LAMBDA) * base, base))
 
-def with_scores(docs: DataFrame, target: Model, background: Model) -> DataFrame:
+
+def matched(target: DataFrame, background: DataFrame) -> tuple[Model, Model]:
+    """Models of two corpora over one table, both scaled to the target's number of tokens."""
+    zero = F.lit(0).cast("long")
+    parts = counts(target).select("key", F.col("n").alias("target"), zero.alias("background"))
+    parts = parts.unionByName(counts(background).select("key", zero.alias("target"), F.col("n").alias("background")))
+    table = cut(parts.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
+    words = table.filter(F.col("key").bitwiseAND(F.lit(3)) == WORD)
+    n, t, b = words.agg(F.count("*"), F.coalesce(F.sum("target"), zero), F.coalesce(F.sum("background"), zero)).first()
+    size = max(1 << VOCABULARY_BITS, n)
+    return Model(table, "target", float(t), float(t), size), Model(table, "background", float(b), float(t), size)
+
+
+def frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, target, background) of the rows with the highest counts, by key: all with a count that at most `most` rows reach."""
+    n = F.col("target") + F.col("background")
+    level = F.floor(F.log2(n) * 8)
+    by_level = sorted(map(tuple, table.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()), reverse=True)  # some 500 levels
+    least, rows = None, 0
+    for at, some in by_level:
+        rows += some
+        if rows > most:
+            break
+        least = at
+    if least is None:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    found = table.filter(level >= least).toArrow()
+    key, t, b = (found[c].to_numpy() for c in ("key", "target", "background"))
+    order = np.argsort(key)
+    return key[order], t[order], b[order]
+
+
+def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands or would stand among sorted keys, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    place = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return place, sorted_keys[place] == keys
+
+
+def _slots(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Per text: its distinct keys, and the slot among them of each token's word, context and pair."""
+    for _, some in _words.groups(texts):
+        word, before, pair, owner = tokens(some)
+        ends = np.searchsorted(owner, np.arange(len(some) + 1))
+        for i in range(len(some)):
+            one = slice(ends[i], ends[i + 1])
+            key, slot = np.unique(np.concatenate([word[one], before[one], pair[one]]), return_inverse=True)
+            yield key, np.split(slot, 3)
+
+
+def with_scores(docs: DataFrame, target: Model, background: Model, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with n_words, target_loss, background_loss (means per token) and score, their difference; columns of these names are replaced.
 
-    A null or empty text has no words and zeros. The broadcast models have a fixed size, set by VOCABULARY_BITS and PAIR_BITS.
+    A null or empty text has no words and zeros. Both models are of one matched().
     """
-    shared = docs.sparkSession.sparkContext.broadcast([(m.word, m.context, m.pair) for m in (target, background)])
-
-    @F.pandas_udf(_SCORED)
-    def score(texts: pd.Series) -> pd.DataFrame:
-        models = [Model(*arrays) for arrays in shared.value]
-        out = []
-        for _, some in _words.groups([t.encode() for t in texts.fillna("")]):
-            word, before, pair, owner = tokens(some)
-            n = np.bincount(owner, minlength=len(some))
-            means = [np.bincount(owner, m.losses(word, before, pair), len(some)) / np.maximum(n, 1) for m in models]
-            out.append(pd.DataFrame({"n_words": n, "target_loss": means[0], "background_loss": means[1]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_words": [], "target_loss": [], "background_loss": []})
-
-    scored = docs.withColumn("__s", score(F.col("text")))
-    added = ("n_words", "target_loss", "background_loss", "score")
-    parts = [F.col(f"__s.{c}").alias(c) for c in added[:3]]
-    return scored.select(*[docs[c] for c in docs.columns if c not in added], *parts, (F.col("__s.target_loss") - F.col("__s.background_loss")).alias("score"))
+    table, pick = target.table, (target.column, background.column)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(table, broadcast_rows))
+    settings = [(m.tokens, m.total, m.vocabulary) for m in (target, background)]
+    columns = [("target", "background").index(c) for c in pick]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
+        for rows, texts in _words.sliced(batches, "text"):
+            th, keys, slots = rows["th"].to_numpy(), [], []
+            for key, _ in _slots(texts):
+                slot = np.flatnonzero(~_at(known, key)[1])
+                keys.append(key[slot])
+                slots.append(slot)
+            yield from _batches(th=np.repeat(th, [len(k) for k in keys]), slot=np.concatenate(slots).astype(np.int32), key=np.concatenate(keys))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, *most = shared.value
+        for rows, texts in _words.sliced(batches, "text"):
+            lists = [rows[c] for c in ("slots", "ts", "bs")]
+            ends = np.concatenate([[0], np.cumsum(lists[0].value_lengths().fill_null(0).to_numpy())])
+            slots, *rest = (x.flatten().to_numpy() for x in lists)
+            out = []
+            for i, (key, at) in enumerate(_slots(texts)):
+                place, there = _at(known, key)
+                answered = slice(ends[i], ends[i + 1])
+                means = []
+                for c, setting in zip(columns, settings, strict=True):
+                    n = np.where(there, most[c][place], 0) if len(known) else np.zeros(len(key), np.int64)
+                    n[slots[answered]] = rest[c][answered]
+                    means.append(losses(*(n[x] for x in at), *setting).sum() / max(1, len(at[0])))
+                out.append((len(at[0]), *means))
+            n, t, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([rows["th"], pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())], ["__th", "n_words", "target_loss", "background_loss"])
+
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(th.alias("th"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["th"])
+    found = texts.mapInArrow(asked, "th long, slot int, key long").join(table, "key")
+    found = found.groupBy("th").agg(F.collect_list(F.struct("slot", "target", "background")).alias("f"))  # at most a text's own keys
+    whole = texts.join(found, "th", "left").select("th", "text", F.col("f.slot").alias("slots"), F.col("f.target").alias("ts"), F.col("f.background").alias("bs"))
+    scores = whole.mapInArrow(scored, "__th long, n_words long, target_loss double, background_loss double")
+    added = ("n_words", "target_loss", "background_loss")
+    own = docs.drop(*added, "score").withColumn("__own", th)
+    joined = own.join(scores, F.col("__own") == F.col("__th"))
+    return joined.drop("__own", "__th").withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:

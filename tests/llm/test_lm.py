@@ -65,3 +65,20 @@ def test_sliding_minima_and_grams():
     w = _words.words([b"a b c d a b c", b"", b"c d a b"], _words.SPACED)
     g = _words.grams(w.hash, 3)
     assert w.first.tolist() == [0, 7, 7, 11] and g[0] == g[4] and g[2] == g[7] and len(set(g.tolist())) < len(g)
+
+
+def test_words_and_pairs_are_counted_apart(spark):
+    words = [f"w{i}" for i in range(80_000)]
+    texts = [" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)] + ["never seen words"]
+    word, before, pair, _ = lm.tokens([" ".join(words).encode()])
+    assert len(set(word.tolist())) == len(set(before.tolist())) == len(set(pair.tolist())) == len(words)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    target, background = lm.matched(df.filter("doc_id = 0"), df.filter("doc_id < 40"))
+    assert background.vocabulary == len(words) and background.table.count() == len(words) + len(words) - 40 + 1 + len(words)
+    for most in (lm.BROADCAST_ROWS, 50, 0):
+        got = {r.doc_id: r for r in lm.with_scores(df, target, background, most).collect()}
+        base = [(n * 2000 / m + lm.ALPHA) / (2000 + lm.ALPHA * len(words)) for n, m in ((1, 2000), (1, 80_000), (0, 1))]
+        bigram = [-math.log(lm.LAMBDA + (1 - lm.LAMBDA) * b) for b in base]
+        assert got[0].target_loss == pytest.approx(bigram[0]) and got[7].target_loss == pytest.approx((1999 * -math.log(base[2]) - math.log((1 - lm.LAMBDA) * base[2])) / 2000)
+        assert got[7].background_loss == pytest.approx((1999 * bigram[1] - math.log(lm.LAMBDA / 40 + (1 - lm.LAMBDA) * base[1])) / 2000)
+        assert got[40].background_loss == pytest.approx((2 * -math.log(base[2]) - math.log((1 - lm.LAMBDA) * base[2])) / 3)

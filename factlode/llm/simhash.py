@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import likeness
 from ._common import cut
 from .components import components
 
@@ -121,27 +122,31 @@ def with_components(marked: DataFrame, max_bits: int = MAX_BITS, list_limit: int
     return marked.join(lookup, marked["fp"] == lookup["__fp"]).drop("__fp")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """docs (any columns, with doc_id and text) with fp and component_id; see with_components.
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs (any columns, with doc_id and text) with fp and component_id, the least doc_id of the text's near copies; see likeness.groups.
 
-    Null and empty texts have fingerprint 0 and link like any other. Columns named fp and component_id are replaced.
+    Null doc_ids take part but never name a component unless it has no other. Texts without words are copies of each
+    other. Columns named fp and component_id are replaced.
     """
-    return with_components(docs.drop("component_id").withColumn("fp", fingerprint("text")), max_bits, list_limit)
+    marked = docs.drop("component_id").withColumn("fp", fingerprint("text")).withColumn("__own", likeness.text_key())
+    firsts = docs.groupBy(likeness.text_key().alias("th")).agg(F.min("doc_id").alias("least"))
+    named = cut(firsts.join(likeness.groups(docs), "th", "left").select("th", "least", F.coalesce("component", "th").alias("component")))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    lookup = named.join(names, "component").select(F.col("th").alias("__th"), "component_id")
+    return marked.join(lookup, marked["__own"] == lookup["__th"]).drop("__own", "__th")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least doc_id, with all its columns.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies (likeness.groups), that with the least doc_id, with all its columns.
 
     A repeated row of that document goes too. Of a group without doc_ids the row with the least xxhash64 of its
     text stays.
     """
-    marked = docs.withColumn("fp", fingerprint("text"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
-    firsts = cut(marked.groupBy("fp").agg(F.min(place).alias("least")))
-    groups = components(links(firsts.select("fp"), max_bits))
-    named = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("least", F.coalesce("component", "fp").alias("component"))
-    heads = named.groupBy("component").agg(F.min("least").alias("h")).select(F.col("h.id").alias("__id"), F.col("h.th").alias("__th"))
-    kept = docs.withColumn("__own", F.xxhash64("text"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), likeness.text_key().alias("th"))
+    firsts = docs.groupBy(likeness.text_key().alias("th")).agg(F.min(place).alias("least"))
+    named = firsts.join(likeness.groups(docs), "th", "left").select("least", F.coalesce("component", "th").alias("component"))
+    heads = cut(named.groupBy("component").agg(F.min("least").alias("h")).select(F.col("h.id").alias("__id"), F.col("h.th").alias("__th")))
+    kept = docs.withColumn("__own", likeness.text_key())
     kept = kept.join(heads, kept["doc_id"].eqNullSafe(heads["__id"]) & (kept["__own"] == heads["__th"]))
     return kept.dropDuplicates(["__id", "__th"]).select(*docs.columns)
 

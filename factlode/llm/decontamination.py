@@ -67,9 +67,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadc
 
     docs: (doc_id, text); benchmark: (item_id, text). Returns places (doc_id, th, start, length), one row for
     each place, and items (doc_id, th, item_id), distinct; th is xxhash64 of the text. Null texts have no words;
-    null item_ids are left out.
+    items with a null item_id count like any other.
     """
-    items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("words"))
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words"))
     items = items.filter(F.size("words") > 0)
     lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect())  # at most `window` numbers
     own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -123,7 +123,7 @@ def covered(spans: Column) -> Column:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """Per document row: doc_id, th, n_words, n_hit, items (their ids as sorted strings) and contaminated."""
+    """Per document row: doc_id, th, n_words, n_hit, items (their ids as sorted strings, without null) and contaminated."""
     places, owners = overlaps(docs, benchmark, window)
     hit = places.groupBy("doc_id", "th").agg(covered(F.sort_array(F.collect_set(F.struct("start", "length")))).alias("n_hit"))
     owned = owners.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))

@@ -69,3 +69,20 @@ def test_edges(spark, hard, clashing, empty):
     assert dc.judge(empty, items).count() == 0 and dc.judge(hard, items.limit(0)).filter("n_hit > 0 or contaminated").count() == 0
     left = dc.decontaminate(clashing, items)
     assert left.columns == clashing.columns and {r.doc_id for r in left.collect()} == {3, 4, None, 5, 6, 7, 10}
+
+
+def test_items_without_id(spark, as_tables):
+    import duckdb
+
+    lost = " ".join(f"w{i}" for i in range(20))
+    docs = [(1, lost), (2, f"before {lost} after"), (3, "clean words"), (4, "short one"), (5, f"{lost} short one")]
+    folder = as_tables(documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame([(None, lost), (7, "short one")], "item_id long, text string"))
+    out = dc.op4_decontamination(spark, folder)
+    rows = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in out.collect()}
+    assert rows == {1: (20, 0, True), 2: (20, 0, True), 3: (0, 0, False), 4: (2, 1, True), 5: (22, 1, True)}
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from read_parquet('{folder}/{name}.parquet/*.parquet')")
+    assert sorted(con.execute(dc.ORACLE_SQL).fetchall()) == sorted(map(tuple, out.collect()))
+    left = dc.decontaminate(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert [r.doc_id for r in left.collect()] == [3]

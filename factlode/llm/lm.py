@@ -1,25 +1,30 @@
 """LM scoring by cross-entropy difference.
 
-Two word-bigram models, one of target documents and one of all documents, share one table of counts and one smoothing,
-and their counts are scaled to the same total. A document's score is the mean over its tokens of the target model's
-loss less the background model's; lower is closer to the target.
-
-The table has a row for every distinct word, context and pair, by 62-bit hashes, and grows with the corpus. Its most
-frequent rows, counted against a limit, are broadcast; each text asks a join for its other words, contexts and pairs.
+Two word-bigram models, one of target documents and one of all documents, share one vocabulary, one table of counts
+and one smoothing, and their counts are scaled to the same total. A document's score is the mean over its tokens of
+the target model's loss less the background model's; lower is closer to the target.
+
+Every distinct word and pair is counted, by 56-bit hashes, in tables that grow with the corpus: among 10^12 pairs one
+in some 70,000 would share its count with another. Documents are counted by blocks of about BLOCK_TOKENS tokens. A block
+sends its distinct keys, dealt by range, to the parts of the table, and each part answers with their counts over the
+corpus in the order in which they came, so that no key travels back and a frequent word is one key of a block. A block's tokens go along
+as numbers of its words and meet the answers in the end: each text is cut into words once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _words
-from ._common import cut
+from ._common import cut, n_parts
 
 #: The least vocabulary that smoothing assumes, as a power of two; a larger one counts as it is.
 VOCABULARY_BITS = 16
@@ -28,69 +33,15 @@ LAMBDA = 0.6
 ALPHA = 0.5
 #: Ids of target documents (some 16 bytes each) up to which they are broadcast; beyond, the join shuffles the texts.
 BROADCAST_IDS = 500_000
-#: Rows of the table (24 bytes each) that are broadcast at most; all others are joined.
-BROADCAST_ROWS = 1 << 21
-#: Keys that a task counts at once, and rows of a batch that goes to Spark.
-KEYS = 1 << 22
-BATCH = 1 << 16
+#: Tokens at which a block is closed, and keys that one part of the table holds about (some 50 bytes each).
+BLOCK_TOKENS = 1 << 21
+PART_KEYS = 1 << 22
+#: Bytes of text for each key that a block sends; only for the number of parts.
+BYTES_PER_KEY = 8
+KEY_BITS = 56
 #: What stands for the word before a text.
-_START_HASH = np.uint64(0x5851F42D4C957F2D)
-#: The last two bits of a key: words, contexts, pairs.
-WORD, CONTEXT, PAIR = 0, 1, 2
-
-
-def _keys(hashes: np.ndarray, kind: int) -> np.ndarray:
-    return ((hashes & ~np.uint64(3)) | np.uint64(kind)).view(np.int64)
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, before, pair, owner): keys of each token, of the context before it and of both, and the text of each token."""
-    w = _words.words([t.lower() for t in texts], _words.SPACED)
-    before = np.empty_like(w.hash)
-    before[1:] = w.hash[:-1]
-    heads = w.first[:-1][np.diff(w.first) > 0]
-    before[heads] = _START_HASH
-    pair = _words.mix(w.hash + before * np.uint64(0x9E3779B97F4A7C15))
-    return _keys(w.hash, WORD), _keys(before, CONTEXT), _keys(pair, PAIR), w.owner
-
-
-def _batches(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    size = len(next(iter(columns.values())))
-    for first in range(0, size, BATCH):
-        yield pa.RecordBatch.from_pydict({name: pa.array(c[first : first + BATCH]) for name, c in columns.items()})
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the texts of one task, added up over KEYS keys at a time."""
-    def added() -> Iterator[pa.RecordBatch]:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        return _batches(key=key, n=n.astype(np.int64))
-
-    held: list[np.ndarray] = []
-    for _, texts in _words.sliced(batches, "text"):
-        for _, some in _words.groups(texts):
-            held += tokens(some)[:3]
-            if sum(map(len, held)) >= KEYS:
-                yield from added()
-                held = []
-    if held:
-        yield from added()
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """(key, n): parts of the counts of all words, contexts and pairs of docs.text, to be added up by key."""
-    return docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(_count, "key long, n long")
-
-
-@dataclass
-class Model:
-    """One column of the table of counts (key, target, background), with its number of tokens, the common total and the vocabulary."""
-
-    table: DataFrame
-    column: str
-    tokens: float
-    total: float
-    vocabulary: int
+START = np.uint64(0x5851F42D4C957F2D >> 8)
+ADDED = ("n_words", "target_loss", "background_loss", "score")
 
 
 def losses(word: np.ndarray, before: np.ndarray, pair: np.ndarray, n_tokens: float, total: float, vocabulary: int) -> np.ndarray:
@@ -102,116 +53,204 @@ def losses(word: np.ndarray, before: np.ndarray, pair: np.ndarray, n_tokens: flo
     return -np.log(np.where(seen, LAMBDA * share + (1 - LAMBDA) * base, base))
 
 
-def matched(target: DataFrame, background: DataFrame) -> tuple[Model, Model]:
-    """Models of two corpora over one table, both scaled to the target's number of tokens."""
-    zero = F.lit(0).cast("long")
-    parts = counts(target).select("key", F.col("n").alias("target"), zero.alias("background"))
-    parts = parts.unionByName(counts(background).select("key", zero.alias("target"), F.col("n").alias("background")))
-    table = cut(parts.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-    words = table.filter(F.col("key").bitwiseAND(F.lit(3)) == WORD)
-    n, t, b = words.agg(F.count("*"), F.coalesce(F.sum("target"), zero), F.coalesce(F.sum("background"), zero)).first()
-    size = max(1 << VOCABULARY_BITS, n)
-    return Model(table, "target", float(t), float(t), size), Model(table, "background", float(b), float(t), size)
-
-
-def frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, target, background) of the rows with the highest counts, by key: all with a count that at most `most` rows reach."""
-    n = F.col("target") + F.col("background")
-    level = F.floor(F.log2(n) * 8)
-    by_level = sorted(map(tuple, table.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()), reverse=True)  # some 500 levels
-    least, rows = None, 0
-    for at, some in by_level:
-        rows += some
-        if rows > most:
-            break
-        least = at
-    if least is None:
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    found = table.filter(level >= least).toArrow()
-    key, t, b = (found[c].to_numpy() for c in ("key", "target", "background"))
-    order = np.argsort(key)
-    return key[order], t[order], b[order]
-
-
-def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each key stands or would stand among sorted keys, and whether it is there."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    place = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return place, sorted_keys[place] == keys
-
-
-def _slots(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Per text: its distinct keys, and the slot among them of each token's word, context and pair."""
-    for _, some in _words.groups(texts):
-        word, before, pair, owner = tokens(some)
-        ends = np.searchsorted(owner, np.arange(len(some) + 1))
-        for i in range(len(some)):
-            one = slice(ends[i], ends[i + 1])
-            key, slot = np.unique(np.concatenate([word[one], before[one], pair[one]]), return_inverse=True)
-            yield key, np.split(slot, 3)
-
-
-def with_scores(docs: DataFrame, target: Model, background: Model, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with n_words, target_loss, background_loss (means per token) and score, their difference; columns of these names are replaced.
-
-    A null or empty text has no words and zeros. Both models are of one matched().
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on, as planes of their bytes, compressed."""
+    head, planes = [], []
+    for a in arrays:
+        a = np.ascontiguousarray(a, np.uint64)
+        width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        planes.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+        head += [len(a), width]
+    raw = b"".join(planes)
+    return np.array([len(arrays), len(raw), *head], "<i8").tobytes() + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    """The arrays of pack(), as int64."""
+    n, size = (int(x) for x in np.frombuffer(body, "<i8", 2))
+    head, out, at = np.frombuffer(body, "<i8", 2 * n, 16).tolist(), [], 0
+    raw = pa.Codec("zstd").decompress(memoryview(body)[16 + 16 * n :], size, asbytes=True) if size else b""
+    for length, width in zip(head[::2], head[1::2], strict=True):
+        a = np.zeros((length, 8), np.uint8)
+        a[:, :width] = np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length).T
+        out.append(a.view("<i8")[:, 0])
+        at += length * width
+    return out
+
+
+class Block:
+    """Distinct words and pairs of consecutive texts, both by ascending key, with their counts in the two corpora.
+
+    known: the words' keys; lengths: tokens of each text; slots: for each token its word's number in known, all texts in
+    a row; in_target, in_background: whether each text counts there.
     """
-    table, pick = target.table, (target.column, background.column)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(table, broadcast_rows))
-    settings = [(m.tokens, m.total, m.vocabulary) for m in (target, background)]
-    columns = [("target", "background").index(c) for c in pick]
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
-        for rows, texts in _words.sliced(batches, "text"):
-            th, keys, slots = rows["th"].to_numpy(), [], []
-            for key, _ in _slots(texts):
-                slot = np.flatnonzero(~_at(known, key)[1])
-                keys.append(key[slot])
-                slots.append(slot)
-            yield from _batches(th=np.repeat(th, [len(k) for k in keys]), slot=np.concatenate(slots).astype(np.int32), key=np.concatenate(keys))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, *most = shared.value
-        for rows, texts in _words.sliced(batches, "text"):
-            lists = [rows[c] for c in ("slots", "ts", "bs")]
-            ends = np.concatenate([[0], np.cumsum(lists[0].value_lengths().fill_null(0).to_numpy())])
-            slots, *rest = (x.flatten().to_numpy() for x in lists)
-            out = []
-            for i, (key, at) in enumerate(_slots(texts)):
-                place, there = _at(known, key)
-                answered = slice(ends[i], ends[i + 1])
-                means = []
-                for c, setting in zip(columns, settings, strict=True):
-                    n = np.where(there, most[c][place], 0) if len(known) else np.zeros(len(key), np.int64)
-                    n[slots[answered]] = rest[c][answered]
-                    means.append(losses(*(n[x] for x in at), *setting).sum() / max(1, len(at[0])))
-                out.append((len(at[0]), *means))
-            n, t, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([rows["th"], pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())], ["__th", "n_words", "target_loss", "background_loss"])
-
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = docs.select(th.alias("th"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["th"])
-    found = texts.mapInArrow(asked, "th long, slot int, key long").join(table, "key")
-    found = found.groupBy("th").agg(F.collect_list(F.struct("slot", "target", "background")).alias("f"))  # at most a text's own keys
-    whole = texts.join(found, "th", "left").select("th", "text", F.col("f.slot").alias("slots"), F.col("f.target").alias("ts"), F.col("f.background").alias("bs"))
-    scores = whole.mapInArrow(scored, "__th long, n_words long, target_loss double, background_loss double")
-    added = ("n_words", "target_loss", "background_loss")
-    own = docs.drop(*added, "score").withColumn("__own", th)
-    joined = own.join(scores, F.col("__own") == F.col("__th"))
-    return joined.drop("__own", "__th").withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-def of_ids(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """Documents with one of the ids (doc_id), which are broadcast only if they are counted and few."""
-    ids = cut(ids.distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
+
+    def __init__(self, known: np.ndarray, lengths: np.ndarray, slots: np.ndarray, in_target: np.ndarray, in_background: np.ndarray):
+        self.lengths, self.slots, self.flags = lengths, slots, (in_target, in_background)
+        self.owner = np.repeat(np.arange(len(lengths)), lengths)
+        # START is one word more, which may also stand in a text
+        self.words, place = np.unique(np.append(known, START), return_inverse=True)
+        self.word = place[:-1][slots]
+        self.before = np.empty_like(self.word)
+        self.before[1:] = self.word[:-1]
+        self.before[(np.cumsum(lengths) - lengths)[lengths > 0]] = place[-1]
+        both, of = np.unique(self.before * len(self.words) + self.word, return_inverse=True)
+        first, second = self.words[both // len(self.words)], self.words[both % len(self.words)]
+        keys = _words.mix(second + first * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KEY_BITS)
+        self.pairs, place = np.unique(keys, return_inverse=True)
+        self.pair = place[of]
+
+    def counts(self, slots: np.ndarray, size: int) -> list[np.ndarray]:
+        """How often each of size numbers stands among slots (one a token) in the target and in the background."""
+        return [np.bincount(slots[flag[self.owner]], minlength=size) for flag in self.flags]
+
+    def cells(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        """(part, its keys and their counts) for every part."""
+        words = [self.words, *self.counts(self.word, len(self.words)), *self.counts(self.before, len(self.words))]
+        pairs = [self.pairs, *self.counts(self.pair, len(self.pairs))]
+        bounds = [np.searchsorted(part_of(x[0], parts), np.arange(parts + 1)) for x in (words, pairs)]
+        for p in range(parts):
+            some = [[a[b[p] : b[p + 1]] for a in x] for x, b in zip((words, pairs), bounds, strict=True)]
+            yield p, pack(*(a for keys, *counts in some for a in (np.diff(keys, prepend=keys.dtype.type(0)), *counts)))
+
+    def losses(self, words: list[np.ndarray], pairs: list[np.ndarray], totals: list[float], vocabulary: int) -> list[np.ndarray]:
+        """Mean loss of each text by target and background, from the corpus counts of words (words, contexts) and pairs."""
+        out = []
+        for k, n in enumerate(totals):
+            loss = losses(words[k][self.word], words[2 + k][self.before], pairs[k][self.pair], n, totals[0], vocabulary)
+            out.append(np.bincount(self.owner, loss, len(self.lengths)) / np.maximum(1, self.lengths))
+        return out
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the table that each key belongs to; ascends with the key."""
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def _encoder(parts: int):
+    """(part, block, body): every block's cell for each part, and its texts' own columns and tokens under a negative part."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ordinal = TaskContext.get().partitionId(), 0
+        rows_held: list[pa.RecordBatch] = []
+        hashes: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+
+        def closed() -> pa.RecordBatch:
+            every, n = np.concatenate(hashes), np.concatenate(lengths)
+            known, slots = np.unique(every, return_inverse=True)
+            flags = [np.concatenate([r[c].to_numpy(zero_copy_only=False) for r in rows_held]) for c in ("__target", "__background")]
+            # a block's name has its contents, so that cells of one reading can never be mistaken for another's
+            name = f"{at}:{ordinal}:{xxhash.xxh3_128_hexdigest(every.tobytes() + n.tobytes())}"
+            cells = list(Block(known, n, slots, *flags).cells(parts)) if len(every) else []
+            own = _ipc([r.drop_columns(["__text", "__target", "__background"]) for r in rows_held])
+            body = pack(np.diff(known, prepend=np.uint64(0)), n, slots, *flags)
+            docs = np.array([len(body)], "<i8").tobytes() + body + own
+            part = pa.array([-1 - at, *(p for p, _ in cells)], pa.int32())
+            return pa.RecordBatch.from_arrays([part, pa.array([name] * (len(cells) + 1)), pa.array([docs, *(b for _, b in cells)], pa.binary())], ["part", "block", "body"])
+
+        for rows, texts in _words.sliced(batches, "__text"):
+            for first, some in _words.groups(texts):
+                w = _words.words([t.lower() for t in some], _words.SPACED)
+                rows_held.append(rows.slice(first, len(some)))
+                hashes.append(w.hash >> np.uint64(64 - KEY_BITS))
+                lengths.append(np.diff(w.first))
+                if sum(map(len, hashes)) >= BLOCK_TOKENS:
+                    yield closed()
+                    ordinal, rows_held, hashes, lengths = ordinal + 1, [], [], []
+        if rows_held:
+            yield closed()
+
+    return encode
+
+
+def _summed(columns: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    """(total counts of the distinct keys, the same dealt back to each list). columns: per list its keys and counts."""
+    keys, place = np.unique(np.concatenate([c[0] for c in columns]), return_inverse=True)
+    totals = []
+    for k in range(1, len(columns[0])):
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, place, np.concatenate([c[k] for c in columns]))
+        totals.append(total)
+    ends = np.cumsum([len(c[0]) for c in columns])[:-1]
+    return totals, [list(x) for x in zip(*(np.split(t[place], ends) for t in totals), strict=True)]
+
+
+def _answer(cells: pa.Table) -> pa.Table:
+    """Each block's cell of one part with the counts over all blocks, and the part's vocabulary and totals. Texts pass as they are."""
+    if cells["part"][0].as_py() < 0:
+        return cells
+    words, pairs = [], []
+    for body in cells["body"]:
+        a = unpack(body.as_py())
+        words.append([np.cumsum(a[0]), *a[1:5]])
+        pairs.append([np.cumsum(a[5]), *a[6:]])
+    of_words, each_word = _summed(words)
+    _, each_pair = _summed(pairs)
+    about = np.array([((of_words[0] > 0) | (of_words[1] > 0)).sum(), of_words[0].sum(), of_words[1].sum()])
+    bodies = [pack(about, *w, *p) for w, p in zip(each_word, each_pair, strict=True)]
+    return pa.table({"part": cells["part"], "block": cells["block"], "body": pa.array(bodies, pa.binary())})
+
+
+def _scorer(parts: int, names: Sequence[str]):
+    def score(rows: pa.Table) -> pa.Table:
+        """The texts of one block with their scores, from its tokens and the answers of all parts."""
+        order = np.argsort(rows["part"].to_numpy())
+        bodies = [rows["body"][int(i)].as_py() for i in order]
+        docs, answers = bodies[0], [unpack(b) for b in bodies[1:]]
+        size = int(np.frombuffer(docs, "<i8", 1)[0])
+        known, lengths, slots, *flags = unpack(docs[8 : 8 + size])
+        own = pa.ipc.open_stream(docs[8 + size :]).read_all()
+        if len(slots) == 0:
+            means = [np.zeros(len(lengths))] * 2
+        elif len(answers) != parts or rows["part"][int(order[0])].as_py() >= 0:
+            raise RuntimeError("a block was read in two ways: the input changes from one reading to the next")
+        else:
+            about = np.sum([a[0] for a in answers], axis=0)
+            words, pairs = ([np.concatenate([a[k] for a in answers]) for k in ks] for ks in (range(1, 5), range(5, 7)))
+            block = Block(np.cumsum(known).astype(np.uint64), lengths, slots, *(f.astype(bool) for f in flags))
+            means = block.losses(words, pairs, [float(about[1]), float(about[2])], max(1 << VOCABULARY_BITS, int(about[0])))
+        added = (pa.array(lengths, pa.int64()), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1]))
+        return pa.table([*own.columns, *added], [*names, *ADDED])
+
+    return score
+
+
+def with_scores(docs: DataFrame, target: Column, background: Column | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs with n_words, target_loss, background_loss (means per token) and score, their difference.
+
+    target, background: conditions on a row, whether its text counts for the target model and for the background model (every row,
+    if none is given); null is false. keep: the columns of docs to return (all); own columns named like the added ones are replaced. A
+    null or empty text has no words and zeros; repeated rows count as often as they stand; an empty table gives an empty result.
+    """
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    flags = [F.coalesce(c, F.lit(False)) for c in (target, F.lit(True) if background is None else background)]
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(n_parts(docs), -(-size // (BYTES_PER_KEY * PART_KEYS)))
+    marked = docs.select(*kept, F.coalesce("text", F.lit("")).alias("__text"), flags[0].alias("__target"), flags[1].alias("__background"))
+    encoded = marked.mapInArrow(_encoder(parts), "part int, block string, body binary")
+    # a part holds a cell of each block, a block an answer of each part: no group grows with a frequent word
+    answered = encoded.groupBy("part").applyInArrow(_answer, "part int, block string, body binary")
+    added = [T.StructField(c, T.LongType() if c == "n_words" else T.DoubleType()) for c in ADDED]
+    return answered.groupBy("block").applyInArrow(_scorer(parts, kept), T.StructType([*docs.select(*kept).schema.fields, *added]))
+
+
+def of_ids(docs: DataFrame, ids: DataFrame, name: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """docs with a column that says whether doc_id is among the ids, which are broadcast only if they are counted and few."""
+    ids = cut(ids.select(F.col("doc_id").alias("__id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= most else ids
+    return docs.join(ids, docs["doc_id"] == F.col("__id"), "left").withColumn(name, F.col("__id").isNotNull()).drop("__id")
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents; the target are those that labels marks with quality 1, the background all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
-    target, background = matched(of_ids(docs, good), docs)
-    return with_scores(docs, target, background).drop("text")
+    return with_scores(of_ids(docs, good, "good"), F.col("good"), keep=["doc_id"])

@@ -116,8 +116,9 @@ def with_next(docs: DataFrame, carried: Sequence[str], buckets: int | None = Non
     copies = F.when(head, F.array(own, F.struct(before.cast("int").alias("b"), F.lit(True).alias("ahead")))).otherwise(F.array(own))
     dealt = dealt.withColumn("__at", F.explode(copies)).withColumns({"__bucket": F.col("__at.b"), "__ahead": F.col("__at.ahead")}).drop("__at")
     order = Window.partitionBy("__bucket").orderBy("__ahead", F.col("doc_id").asc_nulls_last(), "__order")
-    dealt = dealt.withColumn("__next", F.lead(F.struct(*carried)).over(order)).filter(~F.col("__ahead"))
-    return dealt.withColumns({f"next_{c}": F.col(f"__next.{c}") for c in carried}).drop("__next", "__bucket", "__ahead")
+    # one lead a column: a struct of them would be made before the shuffle and travel beside them
+    dealt = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).filter(~F.col("__ahead"))
+    return dealt.drop("__bucket", "__ahead")
 
 
 def edited_text(text: Column, following: Column) -> Column:

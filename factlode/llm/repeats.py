@@ -1,20 +1,23 @@
 """Substring dedup by seed and extend.
 
 Every 50 consecutive words hold an anchor: the least hash among their 25-word grams (winnowing). Documents are joined
-on anchors that two of them share. Around each shared anchor the match is extended both ways: all windows that
-the anchor stands for are compared by 128 bits of rolling hashes, and consecutive equal windows form
-the maximal repeats. Copies of whole word sequences are settled first, by their sequence hash.
+on anchors that two of them share; a chance meeting of two anchors only costs time. Around each shared anchor the match
+is extended both ways: the windows that the anchor stands for are compared by their words, as the cryptographic
+digest (BLAKE2b, 96 bits: two of 10^12 windows agree by chance with a probability of 10^-5) of the words joined by one space. Consecutive windows that repeat the same document
+are one maximal repeat. Copies of whole word sequences are settled first, by the same digest of all their words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _words
 from ._common import cut
@@ -33,26 +36,36 @@ def _anchors(w: _words.Words) -> tuple[np.ndarray, np.ndarray]:
     return starts[inside], low[inside]
 
 
+def _digests(pieces: Iterable[bytes]) -> np.ndarray:
+    """The digest of every piece, as a structured array of a long and an int."""
+    return np.frombuffer(b"".join(blake2b(p, digest_size=12).digest() for p in pieces), [("a", "<i8"), ("b", "<i4")])
+
+
 def outline(texts: list[bytes]) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """Per text: number of words, two hashes of its word sequence, and its distinct anchors."""
+    """Per text: number of words, the two parts of its word sequence's digest, and its distinct anchors."""
     for _, some in _words.groups(texts):
         w = _words.words(some, _words.SPACED)
-        counts = np.diff(w.first)
-        ends = []
-        for base in _words.BASES:
-            running, unshift = _words.spans_hash(w.hash, base)
-            ends.append(_words.mix((running[w.first[1:]] - running[w.first[:-1]]) * unshift[w.first[:-1]] + counts.astype(np.uint64)))
+        counts, ends = np.diff(w.first), _digests(b" ".join(t.split()) for t in some)
         starts, low = _anchors(w)
         bounds = np.searchsorted(starts, w.first)
         for i in range(len(some)):
-            yield int(counts[i]), int(ends[0][i].view(np.int64)), int(ends[1][i].view(np.int64)), np.unique(low[bounds[i] : bounds[i + 1]]).view(np.int64)
+            yield int(counts[i]), int(ends["a"][i]), int(ends["b"][i]), np.unique(low[bounds[i] : bounds[i + 1]]).view(np.int64)
+
+
+def window_digests(text: bytes, starts: np.ndarray) -> np.ndarray:
+    """Digests of the windows of a text at the given words."""
+    parts = text.split()
+    stops = np.cumsum([len(p) + 1 for p in parts])
+    joined = b" ".join(parts)
+    begins, ends = (stops[starts] - [len(parts[s]) + 1 for s in starts]).tolist(), (stops[starts + WINDOW - 1] - 1).tolist()
+    return _digests(joined[a:b] for a, b in zip(begins, ends, strict=True))
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In: doc_id, th, text. Out: doc_id, th, n_words, s1, s2, anchors."""
     for rows, texts in _words.sliced(batches, "text"):
         n, s1, s2, anchors = zip(*outline(texts), strict=True)
-        columns = [rows["doc_id"], rows["th"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))]
+        columns = [rows["doc_id"], rows["th"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int32()), pa.array(anchors, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n_words", "s1", "s2", "anchors"])
 
 
@@ -72,9 +85,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, owner = starts[hit], owner[hit]
             if not len(starts):
                 continue
-            both = [_words.grams(w.hash, WINDOW, base)[starts].view(np.int64) for base in _words.BASES]
+            starts = starts - w.first[owner]
+            own = np.flatnonzero(np.bincount(owner, minlength=len(some)))
+            both = np.concatenate([window_digests(some[i], starts[owner == i]) for i in own])
             at = pa.array(first + owner)
-            columns = [rows["doc_id"].take(at), rows["th"].take(at), pa.array(both[0]), pa.array(both[1]), pa.array((starts - w.first[owner]).astype(np.int32))]
+            columns = [rows["doc_id"].take(at), rows["th"].take(at), pa.array(both["a"]), pa.array(both["b"]), pa.array(starts.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "w1", "w2", "start"])
 
 
@@ -84,73 +99,94 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Starts of the windows to remove: (doc_id, th, whole, starts), one row a document that has any.
+    """Windows to remove: (doc_id, th, whole, found), one row a document that has any, or two if it is also a whole copy.
 
-    th is xxhash64 of the text. whole: the document's whole word sequence is also that of a smaller doc_id. A window
-    is judged on the input: it goes if its words also start in a document with a smaller doc_id. Rows without a
-    doc_id neither lose words nor make others lose any; of a repeated row neither is smaller.
+    th is xxhash64 of the text. whole: the smaller doc_id whose whole word sequence the document has, or null. found: (start, first)
+    of each window whose words also start in a document with a smaller doc_id, the least of which is first; windows are
+    judged on the input. Rows without a doc_id neither lose words nor make others lose any; of a repeated row neither is smaller.
     """
     rows = _keyed(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    outlined = rows.mapInArrow(_outlines, f"doc_id {kind}, th long, n_words long, s1 long, s2 long, anchors array<long>")
+    outlined = rows.mapInArrow(_outlines, f"doc_id {kind}, th long, n_words long, s1 long, s2 int, anchors array<long>")
     outlined = cut(outlined.filter(F.col("n_words") >= WINDOW))
-    one = F.xxhash64(F.lit(0), "s1", "s2")
+    one = F.col("s1").bitwiseAND(F.lit(255))
     # with a key beyond the aggregation's, both sides are dealt for the join alone, and adaptive execution can split hot groups
     firsts = outlined.groupBy("s1", "s2").agg(F.min("doc_id").alias("first")).withColumn("key", one)
     settled = outlined.withColumn("key", one).join(firsts, ["key", "s1", "s2"])
-    copies = settled.filter(F.col("doc_id") > F.col("first")).select("doc_id", "th").distinct()
+    copies = settled.filter(F.col("doc_id") > F.col("first")).select("doc_id", "th", F.col("first").alias("whole")).distinct()
     seeds = settled.filter(F.col("doc_id") == F.col("first")).select("doc_id", "th", F.explode("anchors").alias("anchor"))
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     candidates = seeds.join(shared, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("shared"))  # a document's own
     found = rows.join(cut(candidates), ["doc_id", "th"]).select("doc_id", "th", "text", "shared")
-    windows = found.mapInArrow(_windows, f"doc_id {kind}, th long, w1 long, w2 long, start int")
+    windows = found.mapInArrow(_windows, f"doc_id {kind}, th long, w1 long, w2 int, start int")
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
-    one = F.xxhash64("w1", "w2")
+    one = F.col("w1").bitwiseAND(F.lit(255))  # a byte, as the rows are many
     removed = windows.withColumn("key", one).join(earliest.withColumn("key", one), ["key", "w1", "w2"]).filter("doc_id > lo")
-    removed = removed.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
-    return copies.select("doc_id", "th", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")).unionByName(removed.withColumn("whole", F.lit(False)))
+    removed = removed.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", F.col("lo").alias("first"))).alias("found"))  # a document's own
+    return copies.withColumn("found", F.lit(None).cast(removed.schema["found"].dataType)).unionByName(removed.withColumn("whole", F.lit(None).cast(kind)))
 
 
-def without(text: bytes, whole: bool, starts: list[int] | None) -> tuple[int, int, bytes]:
-    """(n_words, n_removed, kept) of a text, with all words or those of the windows at starts gone."""
+def maximal(starts: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, place) of the maximal repeats that the windows at starts form; place is where one of its windows stands in the input."""
+    order = np.argsort(starts)
+    s, f = starts[order], firsts[order]
+    opens = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1] + 1) | (f[1:] != f[:-1])]))
+    closes = np.append(opens[1:], len(s)) - 1
+    return [(int(s[a]), int(s[b]) + WINDOW, int(order[a])) for a, b in zip(opens, closes, strict=True)]
+
+
+def without(text: bytes, whole: object, starts: np.ndarray, firsts: pa.Array) -> tuple[int, list[dict], int, bytes]:
+    """(n_words, repeats, n_removed, kept) of a text that is a whole copy, or has repeated windows at starts, first found in firsts."""
     parts = text.split()
     n = len(parts)
-    if whole:
-        return n, n, b""
-    if not starts:
-        return n, 0, b" ".join(parts)
-    depth, at = np.zeros(n + 1, np.int64), np.array(starts)
-    np.add.at(depth, at, 1)
-    np.add.at(depth, at + WINDOW, -1)
+    if whole is not None:
+        return n, [{"start": 0, "end": n, "first": whole}], n, b""
+    if not len(starts):
+        return n, [], 0, b" ".join(parts)
+    spans = maximal(starts, firsts.dictionary_encode().indices.to_numpy())
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, [a for a, _, _ in spans], 1)
+    np.add.at(depth, [b for _, b, _ in spans], -1)
     keep = np.cumsum(depth[:-1]) == 0
-    return n, int(n - keep.sum()), b" ".join(p for p, k in zip(parts, keep, strict=True) if k)
+    repeats = [{"start": a, "end": b, "first": firsts[i].as_py()} for a, b, i in spans]
+    return n, repeats, int(n - keep.sum()), b" ".join(p for p, k in zip(parts, keep, strict=True) if k)
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All columns but __whole and __starts, and n_words, n_removed, kept."""
-    for rows, texts in _words.sliced(batches, "text"):
-        done = map(without, texts, rows["__whole"].to_pylist(), rows["__starts"].to_pylist())
-        n, removed, kept = zip(*done, strict=True)
-        own = [c for c in rows.schema.names if c not in ("__whole", "__starts")]
-        columns = [rows[c] for c in own] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, [*own, "n_words", "n_removed", "kept"])
+def _remover(kind: pa.DataType):
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All columns but __whole and __found, and n_words, repeats, n_removed, kept."""
+        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", kind)]))
+        for rows, texts in _words.sliced(batches, "text"):
+            found = rows["__found"]
+            ends = np.concatenate([[0], np.cumsum(found.value_lengths().fill_null(0).to_numpy())])
+            starts, firsts = found.flatten().field("start").to_numpy(), found.flatten().field("first")
+            done = [without(t, whole, starts[a:b], firsts[a:b]) for t, whole, a, b in zip(texts, rows["__whole"].to_pylist(), ends[:-1], ends[1:], strict=True)]
+            n, repeats, gone, kept = zip(*done, strict=True)
+            own = [c for c in rows.schema.names if c not in ("__whole", "__found")]
+            columns = [rows[c] for c in own] + [pa.array(n, pa.int64()), pa.array(repeats, spans), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*own, "n_words", "repeats", "n_removed", "kept"])
+
+    return removed
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with n_words, n_removed and kept, the words outside all repeats joined by one space. Null text: no words.
+    """docs with n_words, repeats, n_removed and kept, the words outside all repeats joined by one space. Null text: no words.
 
+    repeats: (start, end, first) of each maximal repeat in words from 0, end exclusive, with the least doc_id that has its windows.
     Columns of these names are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept")
+    docs = docs.drop("n_words", "repeats", "n_removed", "kept")
     spans = repeats(docs.select("doc_id", "text"))
-    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.max("whole").alias("__whole"), F.max("starts").alias("__starts"))
+    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.max("whole").alias("__whole"), F.max("found").alias("__found"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     judged = _keyed(docs).withColumnRenamed("th", "__own") if not others else docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).withColumn("__own", F.xxhash64("text"))
     joined = judged.join(spans, (judged["doc_id"] == spans["__id"]) & (judged["__own"] == spans["__th"]), "left")
-    rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).withColumns({"__whole": F.lit(False), "__starts": F.lit(None).cast("array<int>")})
-    every = joined.select(*docs.columns, F.coalesce("__whole", F.lit(False)).alias("__whole"), "__starts").unionByName(rest)
-    out = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())))])
-    return every.mapInArrow(_removed, out)
+    kind = docs.schema["doc_id"].dataType
+    of = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("first", kind)]))
+    rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).withColumns({c: F.lit(None).cast(spans.schema[c].dataType) for c in ("__whole", "__found")})
+    every = joined.select(*docs.columns, "__whole", "__found").unionByName(rest)
+    added = (("n_words", T.LongType()), ("repeats", of), ("n_removed", T.LongType()), ("kept", T.StringType()))
+    return every.mapInArrow(_remover(to_arrow_type(kind)), T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in added)]))
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

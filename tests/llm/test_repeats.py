@@ -58,3 +58,24 @@ def test_edges(spark, hard, clashing, empty):
     assert got(clashing) == brute(rows)
     assert "fp" in repeats.remove_repeats(clashing).columns
     assert repeats.remove_repeats(empty).count() == 0
+
+
+def test_words_of_one_rolling_hash_are_not_equal(spark):
+    """Thue-Morse order and its complement have one polynomial hash modulo 2 ** 64, as letters of a word and as words of a text."""
+    order = [bin(i).count("1") % 2 for i in range(2048)]
+    word, other = ("".join("ab"[b ^ flip] for b in order[:1024]) for flip in (0, 1))
+    same = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{same} {word}"), (2, f"{same} {other}"), (3, f"{same} {word}")]
+    rows += [(10 + flip, " ".join(("left", "right")[b ^ flip] for b in order)) for flip in (0, 1)]
+    rows += [(20 + flip, " ".join(f"x{i}" for i in range(60)) + " " + " ".join(("up", "down")[b ^ flip] for b in order)) for flip in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert got(df) == want and {r[0]: r[2] for r in want}[2] == 0 and {r[0]: r[2] for r in want}[3] == 50
+
+
+def test_maximal_repeats(spark):
+    a, b, own = ([f"{c}{i}" for i in range(n)] for c, n in (("a", 80), ("b", 60), ("o", 10)))
+    rows = [(1, a), (2, b), (3, own + a + own[:3] + b[:50]), (4, a[5:70] + own), (5, a)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(2)
+    out = {r.doc_id: [tuple(x) for x in r.repeats] for r in repeats.remove_repeats(df).collect()}
+    assert out == {1: [], 2: [], 3: [(10, 90, 1), (93, 143, 2)], 4: [(0, 65, 1)], 5: [(0, 80, 1)]}

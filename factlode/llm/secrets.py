@@ -72,9 +72,17 @@ responsabilidad establecimiento desarrolladores inmediatamente organizaciones ca
 """
 
 
-def samples(spark: SparkSession, randoms: int = 400) -> DataFrame:
-    """Labelled samples (token, random): ordinary identifiers, and digests of counters in hexadecimal and base 64."""
-    ordinary = spark.range(1).select(F.explode(F.split(F.trim(F.lit(" ".join(ORDINARY.split()))), " ")).alias("token"), F.lit(False).alias("random"))
+#: Digests among the samples, and how often each ordinary identifier is joined to another one.
+RANDOMS = 4000
+JOINED = 9
+
+
+def samples(spark: SparkSession, randoms: int = RANDOMS) -> DataFrame:
+    """Labelled samples (token, random): ordinary identifiers, alone and joined in pairs, and digests of counters in hexadecimal and base 64."""
+    words, n = F.split(F.lit(" ".join(ORDINARY.split())), " "), len(ORDINARY.split())
+    pair = lambda j: F.transform(words, lambda w, i: F.when(j == 0, w).otherwise(F.concat(w, F.lit("_"), F.get(words, (i + 7 * j) % n))))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(JOINED)), pair))
+    ordinary = spark.range(1).select(F.explode(every).alias("token"), F.lit(False).alias("random"))
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")).cast("binary"), 256)
     made = spark.range(randoms).select(F.when(F.col("id") % 3 == 0, digest).otherwise(F.base64(F.unhex(digest))).alias("token"), F.lit(True).alias("random"))
     return ordinary.unionByName(made)
@@ -118,11 +126,11 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
     return F.transform(F.array(chars), mean)[0]
 
 
-def spans_of(text: Column, kind: int, name: str, pattern: str, found: Column, keep) -> Column:
-    """(start, end, kind, name) of a pattern's matches that keep(match, index) holds for.
+def spans_of(text: Column, kind: int, name: str, pattern: str, found: Column, kept: Column) -> Column:
+    """(start, end, kind, name) of a pattern's matches whose flag in kept is true.
 
-    found: all matches in order. The text between them gives the starts: match i starts after the first i + 1
-    pieces and the first i matches. Code points, end exclusive.
+    found: all matches in order; kept: a flag for each. The text between them gives the starts: match i starts after
+    the first i + 1 pieces and the first i matches. Code points, end exclusive.
     """
     lengths = lambda a: F.transform(a, lambda x: F.char_length(x))
     between = F.transform(F.array(lengths(F.split(text, pattern, -1))), lambda p: F.slice(p, 1, F.size(p) - 1))[0]
@@ -130,7 +138,8 @@ def spans_of(text: Column, kind: int, name: str, pattern: str, found: Column, ke
     def of(size: Column) -> Column:
         ends = prefix_sums(F.zip_with(between, size, lambda p, m: p + m))
         each = F.zip_with(ends, size, lambda e, m: F.struct((e - m).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), F.lit(name).alias("name")))
-        return F.filter(each, lambda s, i: keep(i))
+        # the flags are evaluated once, as one side of the zip, and not for every match
+        return F.filter(F.zip_with(each, kept, lambda s, k: F.when(k, s)), lambda s: s.isNotNull())
 
     none = F.lit([]).cast("array<struct<start:int,end:int,kind:int,name:string>>")
     return F.when(F.size(found) > 0, F.transform(F.array(lengths(found)), of)[0]).otherwise(none)
@@ -139,22 +148,20 @@ def spans_of(text: Column, kind: int, name: str, pattern: str, found: Column, ke
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """Add base and spans, arrays of (start, end, kind, name) by start, then kind, and __text (null: empty).
 
-    base has the spans of the patterns, spans also those of the Markov models. All other columns of docs stay.
+    base has the spans of the patterns, spans also those of the Markov models. All other columns of docs stay; own
+    columns named base, spans or __text are replaced. The work grows with a text's length, however many matches it has.
     """
     df = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     text = F.col("__text")
-    df = df.withColumns({f"__m{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, (_, p, _, _) in enumerate(KINDS)} | {"__tokens": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))})
-    for k, (_, p, group, _) in enumerate(KINDS):
-        if group:
-            df = df.withColumn(f"__g{k}", F.when(F.size(f"__m{k}") > 0, F.regexp_extract_all(text, F.lit(p), F.lit(group))))
-    df = df.withColumn("__ratios", F.transform("__tokens", lambda t: likelihood_ratio(t, model)))
+    every = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    at_least = lambda found, least: F.transform(found, lambda g: F.char_length(g) >= least)
     for k, (name, p, group, least) in enumerate(KINDS):
-        measured = f"__g{k}" if group else f"__m{k}"
-        df = df.withColumn(f"__s{k}", spans_of(text, k, name, p, F.col(f"__m{k}"), lambda i, c=measured, n=least: F.char_length(F.get(c, i)) >= n))
-    df = df.withColumn("__own", spans_of(text, len(KINDS), MARKOV, CANDIDATE, F.col("__tokens"), lambda i: F.get("__ratios", i) > threshold))
+        df = df.withColumn(f"__s{k}", spans_of(text, k, name, p, every(p, 0), at_least(every(p, group), least)))
+    random = F.transform(every(CANDIDATE, 0), lambda t: likelihood_ratio(t, model) > threshold)
+    df = df.withColumn("__own", spans_of(text, len(KINDS), MARKOV, CANDIDATE, every(CANDIDATE, 0), random))
     df = df.withColumn("base", F.array_sort(F.concat(*[F.col(f"__s{k}") for k in range(len(KINDS))])))
     df = df.withColumn("spans", F.array_sort(F.concat("base", "__own")))
-    return df.drop("__tokens", "__ratios", "__own", *[f"__{c}{k}" for c in "msg" for k in range(len(KINDS))])
+    return df.drop("__own", *[f"__s{k}" for k in range(len(KINDS))])
 
 
 def listed(spans: Column) -> Column:
@@ -167,21 +174,72 @@ def counted(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_max(values: Column) -> Column:
+    """Greatest of each value and all before it, of an array of ints, in blocks of about the square root of its length."""
+    def of(a: Column) -> Column:
+        block = F.greatest(F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / block).cast("int") - 1, F.lit(0))), lambda j: F.slice(a, j * block + 1, block))
+        before = lambda tops: F.transform(tops, lambda _, j: F.array_max(F.slice(tops, 1, j)))
+        tops = _bind(F.transform(blocks, lambda b: F.array_max(b)), before)
+        return F.flatten(F.zip_with(blocks, tops, lambda b, t: F.transform(b, lambda _, i: F.greatest(t, F.array_max(F.slice(b, 1, i + 1))))))
+
+    return _bind(values, of)
+
+
+def merged(spans: Column) -> Column:
+    """(start, end) of the unions of overlapping spans, which are sorted by start."""
+    def of(s: Column) -> Column:
+        def islands(top: Column) -> Column:
+            opens = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(top, i - 1)), i)), lambda i: i.isNotNull())
+            last = lambda o, j: F.coalesce(F.get(o, j + 1) - 1, F.size(s) - 1)
+            return _bind(opens, lambda o: F.transform(o, lambda i, j: F.struct(F.get(s, i)["start"].alias("start"), F.get(top, last(o, j)).alias("end"))))
+
+        return _bind(running_max(F.transform(s, lambda x: x["end"])), islands)
+
+    return _bind(spans, of)
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """text with each of the spans, disjoint and ascending, replaced by the mask.
+
+    The text is cut into chunks of about the square root of its length, as a substring of the whole is found by
+    walking there from its start.
+    """
+    def of(t: Column) -> Column:
+        n = F.char_length(t)
+        size = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(n / size).cast("int")), lambda j: F.substring(t, j * size + 1, size))
+
+        def between(both: Column) -> Column:
+            c, m = both["c"], both["m"]
+
+            def piece(a: Column, b: Column) -> Column:
+                first = F.floor(a / size).cast("int")
+                near = F.array_join(F.slice(c, first + 1, F.floor(b / size).cast("int") - first + 1), "")
+                return F.substring(near, a - first * size + 1, b - a)
+
+            each = F.transform(m, lambda s, i: F.concat(piece(F.when(i == 0, 0).otherwise(F.get(m, i - 1)["end"]), s["start"]), F.lit(mask)))
+            return F.concat(F.array_join(each, ""), piece(F.element_at(m, -1)["end"], n))
+
+        return _bind(F.struct(chunks.alias("c"), spans.alias("m")), between)
+
+    return _bind(text, of)
+
+
 def redact(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
-    """Replace every span, overlapping ones merged, by the mask; n_chars, where there is one, follows. Null texts stay."""
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        span = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
-        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        return F.when(F.size(acc) == 0, span).when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, span))
+    """Replace every span, overlapping ones merged, by the mask; n_chars, where there is one, follows. Null texts stay.
 
+    All other columns and rows stay, whatever their names; repeated rows and an empty table are no special cases.
+    """
     # whole rows are set aside, so that no column of theirs can clash with what the scan adds
     df = scan(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model, threshold)
-    df = df.withColumn("__merged", F.aggregate("spans", F.lit([]).cast("array<struct<start:int,end:int>>"), merge))
-    before = F.transform("__merged", lambda m, i: F.concat(F.substring(F.col("__text"), F.when(i == 0, 1).otherwise(F.get("__merged", i - 1)["end"] + 1), m["start"] - F.when(i == 0, 0).otherwise(F.get("__merged", i - 1)["end"])), F.lit(mask)))
-    rest = F.substring(F.col("__text"), F.element_at("__merged", -1)["end"] + 1, F.char_length("__text"))
-    changed = F.size("__merged") > 0
-    df = df.withColumn("text", F.when(changed, F.concat(F.array_join(before, ""), rest)).otherwise(F.col("text")))
+    changed = F.size("spans") > 0
+    df = df.withColumn("text", F.when(changed, masked(F.col("__text"), merged(F.col("spans")), mask)).otherwise(F.col("text")))
     kept = {c: F.col(f"__row.{c}") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in kept:
         kept["n_chars"] = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
@@ -217,9 +275,10 @@ e AS (SELECT doc_id, kind, name, least, m, g, between, unnest(range(1, len(m) +
 s AS (
   SELECT doc_id, kind, name, least, m[i] AS token, length(g[i]) AS measured, {size('between[1:i]')} + {size('m[1:i-1]')} AS a
   FROM e),
+ordinary AS (SELECT string_split({quote(' '.join(ORDINARY.split()))}, ' ') AS l),
 samples AS (
-  SELECT unnest(string_split({quote(' '.join(ORDINARY.split()))}, ' ')) AS token, false AS random
-  UNION ALL SELECT CASE WHEN i % 3 = 0 THEN sha256('sample ' || i) ELSE to_base64(unhex(sha256('sample ' || i))) END, true FROM range(400) r(i)),
+  SELECT CASE WHEN j = 0 THEN l[i + 1] ELSE l[i + 1] || '_' || l[(i + 7 * j) % len(l) + 1] END AS token, false AS random FROM ordinary, range({len(ORDINARY.split())}) a(i), range({JOINED + 1}) b(j)
+  UNION ALL SELECT CASE WHEN i % 3 = 0 THEN sha256('sample ' || i) ELSE to_base64(unhex(sha256('sample ' || i))) END, true FROM range({RANDOMS}) r(i)),
 c AS (SELECT random, {chars} AS c FROM samples),
 n AS (SELECT random, c[j] AS a, c[j + 1] AS b, count(*) AS n FROM (SELECT random, c, unnest(range(1, len(c))) AS j FROM c) GROUP BY ALL),
 letters AS (SELECT unnest(range({len(ALPHABET)})) AS x),

@@ -1,7 +1,9 @@
 """Secret scans against Python's regular expressions, models, redaction."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,45 @@ def test_redaction_and_edges(spark, model, hard, clashing, empty):
     assert secrets.redact(empty, model).count() == 0 and secrets.scan(hard, model).count() == 11
 
 
+def test_overlapping_spans_against_plain_python(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60):
+        text = "".join(rnd.choice("ab é😀中") for _ in range(rnd.randint(1, 90)))
+        cuts = sorted((a, rnd.randint(a + 1, len(text))) for a in (rnd.randrange(len(text)) for _ in range(rnd.choice((1, 2, 5, 30)))))
+        rows.append((i, text, cuts))
+    df = spark.createDataFrame(rows, "i int, t string, spans array<struct<start:int,end:int>>")
+    for r in df.withColumn("m", secrets.merged(F.col("spans"))).withColumn("out", secrets.masked(F.col("t"), F.col("m"), "#")).collect():
+        gone = [any(a <= p < b for a, b in rows[r.i][2]) for p in range(len(r.t))]
+        want = "".join("" if g and p and gone[p - 1] and not _touch(rows[r.i][2], p) else "#" if g else c for p, (c, g) in enumerate(zip(r.t, gone, strict=True)))
+        assert r.out == want
+
+
+def _touch(cuts, p):
+    """Whether spans only touch at p, so that two masks stand there."""
+    return not any(a < p < b for a, b in cuts)
+
+
+def test_work_grows_with_the_text_and_not_with_its_square(spark, model):
+    """50,000 matches in one text: each match must not walk over all others."""
+    many = " ".join(f"token=abcdefgh{i:05d} x" for i in range(50_000))
+    df = spark.createDataFrame([(1, many, len(many))], "doc_id long, text string, n_chars long")
+    began = time.monotonic()
+    r = secrets.scan(df, model).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).first()
+    assert r.n == 50_000 and many[r.last.start : r.last.end] == "token=abcdefgh49999"
+    assert secrets.redact(df, model).first().text == " ".join(["[SECRET] x"] * 50_000)
+    assert time.monotonic() - began < 60
+
+
+def test_held_out_samples(spark):
+    """Models trained on four fifths of the samples, judged on the rest."""
+    labelled = secrets.samples(spark).withColumn("fold", F.crc32("token") % 5).cache()
+    model = secrets.train(labelled.filter("fold <> 0"))
+    held = labelled.filter("fold = 0").select("random", (secrets.likelihood_ratio(F.col("token"), model) > secrets.THRESHOLD).alias("said")).collect()
+    right = sum(r.random == r.said for r in held)
+    assert len(held) > 500 and right >= 0.99 * len(held), (right, len(held))
+
+
 def test_prefix_sums(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5, 6, 7],), ([],), ([5],)], "a array<int>")
     assert [r.s for r in df.select(_common.prefix_sums(F.col("a")).alias("s")).collect()] == [[1, 3, 6, 10, 15, 21, 28], [], [5]]

@@ -2,8 +2,9 @@
 
 Each source has a weight schedule over training time 0..1, piecewise linear between knots. Its integral
 is the source's share of demand; the share of a source is bounded by max_epochs times its own size and
-what it can't use is shared again by weight. A document's training position is the time at which its
-source's cumulative demand reaches the document's place in the source's (hashed) reading order.
+what it can't use is shared again by weight. A source is read around in a (hashed) order of its documents until its
+demand is met, up to max_epochs times. The training position of a pass over a document is the time at which its
+source's cumulative demand reaches the document's place in that pass.
 
 Prefix sums run in two levels: (source, bucket of the order's hash) sums first, then the few rows of a
 bucket, so a source with a third of all rows spreads over as many buckets as it needs.
@@ -101,32 +102,35 @@ def mix(
     max_epochs: int = 3,
     schedules: Sequence[Sequence[tuple[float, float]]] = (FALLING, RISING),
     carry: Sequence[str] = (),
+    every_pass: bool = False,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Assign target words, words taken and the training position to every document, in order of position.
+    """Assign target words, words taken and the training positions to every document, in order of position.
 
     docs needs doc_id, text and source; columns named in carry come along, but for names that the result has itself. Returns doc_id,
-    the carried columns, size, source_size, target, taken and position (time 0..1 of the document's first word; null if nothing of it is taken). A source's
-    reading order is md5 of doc_id, then xxhash64 of text. It is read around until floor(target) words are
-    taken, so the last document of the last pass may be cut; taken counts repeats and is at most max_epochs times
-    size. Null text: size 0. Null source: a source of its own, after all others. Null doc_id: ordered by
-    an empty hash. Repeated rows count as often as they stand. An empty table gives an empty result.
+    the carried columns, size, source_size, target, taken, position and last_position (times 0..1 of the document's first word in the
+    first and in the last pass over it; null if nothing of it is taken). With every_pass there is one row for each pass over a document
+    instead, with its number from 0, the words taken in it and its position: the order of training.
+
+    A source's reading order is md5 of doc_id (of the text's md5, where that is null), then xxhash64 of text. It is read around until
+    floor(target) words are taken, so the last document of the last pass may be cut; taken counts repeats and is at most
+    max_epochs times size. Null text: size 0. Null source: a source of its own, after all others. Repeated rows count as
+    often as they stand. An empty table gives an empty result.
     """
-    base = docs.select(
-        "doc_id",
-        "source",
-        word_count(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
-        F.xxhash64("text").alias("th"),
-    )
-    base = cut(base)
+    own = ("doc_id", "size", "source_size", "target", "taken", "pass", "words", "position", "last_position")
+    carry = [c for c in carry if c not in own]
+    text = F.col("text")
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(text.cast("binary")), F.lit("")).cast("binary"))
+    base = docs.select("doc_id", "source", word_count(text).alias("size"), order.alias("h"), F.xxhash64("text").alias("th"), *([F.struct(*carry).alias("__own")] if carry else []))
+    # without texts the rows are kept for both passes over them; with them, counting words again is less than writing them
+    base = base if carry else cut(base)
     rows = base.count()
     digits = 0
     while 16**digits * rows_per_bucket < rows and digits < MAX_DIGITS:
         digits += 1
     keyed = base.withColumns({"bucket": F.substring("h", 1, digits), "no_source": F.col("source").isNull(), "key": F.coalesce("source", F.lit(""))})
     place = ["no_source", "key", "bucket"]
-    buckets = keyed.groupBy(*place).agg(F.sum("size").alias("bucket_size"))
+    buckets = cut(keyed.groupBy(*place).agg(F.sum("size").alias("bucket_size")))
     goals = targets(
         buckets.groupBy("no_source", "key").agg(F.sum("bucket_size").alias("source_size")).select(F.when(~F.col("no_source"), F.col("key")).alias("source"), "source_size"),
         weights,
@@ -141,42 +145,46 @@ def mix(
     rest = whole - epochs * F.col("source_size")
     taken = F.col("size") * epochs + F.least(F.greatest(rest - F.col("at"), F.lit(0)), F.col("size"))
     placed = placed.withColumn("taken", taken.cast("long"))
-    share = F.when(F.col("target") > 0, F.col("at") / F.col("target"))
-    position = None
-    for r, knots in enumerate(schedules):
-        time = invert_demand(share, knots)
-        position = time if position is None else F.when(F.col("rank") % len(schedules) == r, time).otherwise(position)
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, F.round(position, 9)))
-    out = placed.select("doc_id", "th", "size", "source_size", "target", "taken", "position")
-    carry = [c for c in carry if c not in out.columns]
-    if carry:
-        own = docs.select("doc_id", F.xxhash64("text").alias("th"), *[F.col(c) for c in carry])
-        # a row that stands twice has two places of its own; number the twins on both sides
-        twin = lambda order: F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(order))
-        own, out = own.withColumn("twin", twin(F.lit(0))), out.withColumn("twin", twin("position"))
-        out = out.alias("m").join(own.alias("d"), F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & F.col("m.th").eqNullSafe(F.col("d.th")) & (F.col("m.twin") == F.col("d.twin")))
-        out = out.select("m.doc_id", *[F.col(f"d.{c}") for c in carry], *[f"m.{c}" for c in ("size", "source_size", "target", "taken", "position")])
+    last = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int") - 1  # of a document with taken words
+
+    def position(number: Column) -> Column:
+        share = F.when(F.col("target") > 0, (F.col("at") + number * F.col("source_size")) / F.col("target"))
+        out = None
+        for r, knots in enumerate(schedules):
+            time = invert_demand(share, knots)
+            out = time if out is None else F.when(F.col("rank") % len(schedules) == r, time).otherwise(out)
+        return F.when(F.col("taken") > 0, F.round(out, 9))
+
+    measures = ["size", "source_size", "target", "taken"]
+    if every_pass:
+        placed = placed.filter("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
+        words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+        placed = placed.withColumns({"words": words, "position": position(F.col("pass"))})
+        measures += ["pass", "words", "position"]
     else:
-        out = out.drop("th")
+        placed = placed.withColumns({"position": position(F.lit(0)), "last_position": position(last)})
+        measures += ["position", "last_position"]
+    out = placed.select("doc_id", *[F.col("__own")[c].alias(c) for c in carry], *measures)
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def passes(mixed: DataFrame) -> DataFrame:
-    """One row for each pass over a document that the mix takes: pass number from 0 and words taken in that pass."""
-    n = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    each = mixed.filter(F.col("taken") > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), n - 1)))
-    return each.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")))
-
-
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """Mix all documents with weights 1, 2, 3 to 100 % of all words, no source above 3 passes."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-ORACLE_SQL = r"""
+def _time(place: str) -> str:
+    """SQL of the time at which the schedule of a source reaches a place in its demand."""
+    share = f"(CAST({place} AS DOUBLE) / target)"
+    root = f"sqrt(greatest(CASE WHEN rank % 2 = 0 THEN 2.25::DOUBLE - 2.0::DOUBLE * {share} ELSE 0.25::DOUBLE + 2.0::DOUBLE * {share} END, 0.0::DOUBLE))"
+    first = "CASE WHEN rank % 2 = 0 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END"
+    return f"round(least(CASE WHEN {place} <= 0 THEN 0.0 ELSE 2.0::DOUBLE * {share} / ({first} + {root}) END, 1.0::DOUBLE), 9)"
+
+
+ORACLE_SQL = rf"""
 WITH base AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS h
   FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM src),
@@ -200,9 +208,7 @@ cuts AS (
 took AS (
   SELECT *, CAST(size * epochs + least(greatest(CAST(floor(target) AS BIGINT) - epochs * source_size - place, 0), size) AS BIGINT) AS taken FROM cuts)
 SELECT doc_id, size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN round(least(CASE WHEN place <= 0 THEN 0.0 ELSE 2.0::DOUBLE * (CAST(place AS DOUBLE) / target)
-         / (CASE WHEN rank % 2 = 0 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END
-            + sqrt(greatest(CASE WHEN rank % 2 = 0 THEN 2.25::DOUBLE - 2.0::DOUBLE * (CAST(place AS DOUBLE) / target)
-                                 ELSE 0.25::DOUBLE + 2.0::DOUBLE * (CAST(place AS DOUBLE) / target) END, 0.0::DOUBLE))) END, 1.0::DOUBLE), 9) END AS position
+       CASE WHEN taken > 0 THEN {_time("place")} END AS position,
+       CASE WHEN taken > 0 THEN {_time("(place + ((taken + size - 1) // size - 1) * source_size)")} END AS last_position
 FROM took
 """

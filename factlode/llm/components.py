@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 
-def _stars(near: DataFrame, keep) -> DataFrame:
-    """Link each node's neighbours to the least node among them and itself. near: (u, v)."""
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return keep(near, least)
+def of_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with what an aggregation by key says of each group.
+
+    A byte of the key's hash is a join key more: both sides are then dealt for the join alone, not as the aggregation left
+    them, and adaptive execution can split a group with very many rows.
+    """
+    byte = F.pmod(F.xxhash64(F.col(key)), F.lit(256))
+    return rows.withColumn("__byte", byte).join(groups.withColumn("__byte", byte), ["__byte", key]).drop("__byte")
+
+
+def _least(near: DataFrame) -> DataFrame:
+    """(u, m): the least node among each node's neighbours and itself. near: (u, v)."""
+    return near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,8 +37,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     last = mark(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, lambda near, least: near.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
-        small = _stars(large, lambda near, least: near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
+        large = of_group(both, _least(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u <> v").distinct()
+        least = _least(large)
+        small = of_group(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = cut(small.filter("u <> v").distinct())
         now = mark(e)
         if now == last:

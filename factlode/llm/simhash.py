@@ -17,13 +17,13 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import likeness
 from ._common import cut
-from .components import components
+from .components import components, of_group
 
 SHINGLE = 4
 SEED = 42
@@ -80,7 +80,10 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, list_limit: int = L
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     cells = F.array(*[F.struct(F.lit(i).cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
     listed = fingerprints.select("fp", F.explode(cells).alias("c")).select("fp", "c.*")
-    listed = listed.withColumn("n", F.count("*").over(Window.partitionBy("choice", "key"))).filter("n > 1")
+    # lists are counted by partial sums; a byte of the key is a join key more, so that adaptive execution can split a long list
+    byte = F.col("key").bitwiseXOR(F.shiftright("key", 32)).bitwiseAND(F.lit(255))
+    counted = listed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    listed = listed.withColumn("byte", byte).join(counted.withColumn("byte", byte), ["byte", "choice", "key"]).drop("byte")
     short = listed.filter(F.col("n") <= list_limit).groupBy("choice", "key").agg(F.collect_list("fp").alias("members"))  # list_limit at most
 
     @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
@@ -99,7 +102,8 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, list_limit: int = L
     flips = [sum(1 << b for b in chosen) for size in range(half + 1) for chosen in combinations(range(64), size)]
     points = F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in flips)), ",").cast("array<bigint>")
     around = long_members.select("fp", F.explode(points).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    around = around.withColumn("least", F.min("fp").over(Window.partitionBy("point"))).filter("least <> fp")
+    least = around.groupBy("point").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    around = of_group(around, least, "point").filter("least <> fp")
     return near.unionByName(around.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct())
 
 
@@ -118,7 +122,7 @@ def with_components(marked: DataFrame, max_bits: int = MAX_BITS, list_limit: int
     groups = components(links(firsts.select("fp"), max_bits, list_limit))
     named = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    lookup = cut(named.join(names, "component").select(F.col("fp").alias("__fp"), "component_id"))
+    lookup = cut(of_group(named, names, "component").select(F.col("fp").alias("__fp"), "component_id"))
     return marked.join(lookup, marked["fp"] == lookup["__fp"]).drop("__fp")
 
 
@@ -132,7 +136,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = docs.groupBy(likeness.text_key().alias("th")).agg(F.min("doc_id").alias("least"))
     named = cut(firsts.join(likeness.groups(docs), "th", "left").select("th", "least", F.coalesce("component", "th").alias("component")))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    lookup = named.join(names, "component").select(F.col("th").alias("__th"), "component_id")
+    lookup = of_group(named, names, "component").select(F.col("th").alias("__th"), "component_id")
     return marked.join(lookup, marked["__own"] == lookup["__th"]).drop("__own", "__th")
 
 

@@ -150,9 +150,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     firsts = docs.groupBy(likeness.text_key().alias("th")).agg(F.min(place).alias("least"))
     named = firsts.join(likeness.groups(docs), "th", "left").select("least", F.coalesce("component", "th").alias("component"))
     heads = cut(named.groupBy("component").agg(F.min("least").alias("h")).select(F.col("h.id").alias("__id"), F.col("h.th").alias("__th")))
-    kept = docs.withColumn("__own", likeness.text_key())
-    kept = kept.join(heads, kept["doc_id"].eqNullSafe(heads["__id"]) & (kept["__own"] == heads["__th"]))
-    return kept.dropDuplicates(["__id", "__th"]).select(*docs.columns)
+    # plain keys, so that the join and the removal of repeated rows share one shuffle of the texts
+    keys = lambda id, th: {"__none": id.isNull(), "__id": F.coalesce(id.cast("string"), F.lit("")), "__th": th}
+    heads = heads.select(*[c.alias(n) for n, c in keys(F.col("__id"), F.col("__th")).items()])
+    kept = docs.withColumns(keys(F.col("doc_id"), likeness.text_key())).join(heads, ["__none", "__id", "__th"])
+    return kept.dropDuplicates(["__none", "__id", "__th"]).select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

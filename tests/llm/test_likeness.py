@@ -58,3 +58,20 @@ def test_given_documents(spark):
     want = brute(sorted((r.doc_id, r.text) for r in docs.collect()))
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want.values())
     assert likeness.groups(docs.limit(0)).count() == 0
+
+
+def test_large_group_of_variants_against_brute_force(spark):
+    """Variants of one text, most too different from each other, and copies of them: chains through any of them count."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for _ in range(rnd.choice((0, 1, 2, 3, 4, 6, 9))):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w[rnd.choice((0, 0, 7)) :])))
+    rows += [(1000 + i, t) for i, t in rows[:40]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert 10 < len(set(want.values())) < 200
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want

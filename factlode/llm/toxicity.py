@@ -32,8 +32,8 @@ STEP = 0.02
 SCALE = 150.0
 DECAY = 2e-4
 SEED = 11
-#: Entries of the training matrix that are handled at once.
-PART = 1 << 20
+#: Vectors that are moved at once, so that a step makes no second copy of the embedding.
+SLICE = 1 << 14
 
 _WORD = np.zeros(256, bool)
 _WORD[np.r_[0x30:0x3A, 0x61:0x7B, 0x80:0x100]] = True
@@ -99,11 +99,20 @@ def groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts[first:]
 
 
-def matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of the texts' mean subword bags: (indptr, rows, weights)."""
-    indptr, all_rows, all_weights = [0], [], []
+@dataclass
+class Part:
+    """The mean subword bags of consecutive texts from `first` on: sparse rows of a matrix."""
+
+    first: int
+    indptr: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+
+
+def parts(texts: list[bytes]) -> list[Part]:
+    """The texts' mean subword bags, a part for each group of texts; the parts are never copied into one."""
+    out = []
     for first, some in groups(texts):
-        del first
         s = subwords(some)
         words = np.bincount(s.owner, minlength=len(some))
         weight = 1.0 / (_counts(s) * words[s.owner])
@@ -115,13 +124,9 @@ def matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             weights.append(np.repeat(weight, m))
         key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, np.concatenate(weights), len(key))
-        all_rows.append((key & ((1 << ROW_BITS) - 1)).astype(np.int32))
-        all_weights.append(total.astype(np.float32))
-        ends = np.searchsorted(key >> ROW_BITS, np.arange(1, len(some) + 1)) + indptr[-1]
-        indptr.extend(ends.tolist())
-    rows = np.concatenate([np.zeros(0, np.int32), *all_rows])
-    all_rows.clear()  # before the weights are copied too
-    return np.array(indptr), rows, np.concatenate([np.zeros(0, np.float32), *all_weights])
+        indptr = np.searchsorted(key >> ROW_BITS, np.arange(len(some) + 1))
+        out.append(Part(first, indptr, (key & ((1 << ROW_BITS) - 1)).astype(np.int32), total.astype(np.float32)))
+    return out
 
 
 @dataclass
@@ -158,15 +163,14 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << ROW_BITS, np.float32), 20.0 if len(y) and y[0] else -20.0)
-    indptr, rows, weights = matrix(texts)
+    some = parts(texts)
     present = np.zeros(1 << ROW_BITS, bool)
-    present[rows] = True
+    for p in some:
+        present[p.rows] = True
     used = np.flatnonzero(present)
-    at = (np.cumsum(present, dtype=np.int32) - 1)[rows]
-    del rows
-    # whole texts in parts of about PART entries, so that what a pass makes in between stays small
-    cuts = np.unique(np.searchsorted(indptr, np.arange(0, indptr[-1] + PART, PART)).clip(0, len(y)))
-    parts = [(a, b, slice(indptr[a], indptr[b])) for a, b in zip(cuts, cuts[1:], strict=False) if indptr[b] > indptr[a]]
+    place = np.cumsum(present, dtype=np.int32) - 1
+    for p in some:
+        p.rows = place[p.rows]
     rng = np.random.default_rng(SEED)
     embedding, output = rng.normal(0, 0.1, (len(used), WIDTH)), rng.normal(0, 0.5, (WIDTH, 2))
     bias = np.log([1 - y.mean(), y.mean()])
@@ -176,22 +180,27 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
         rate = STEP * (1 - (step - 1) / PASSES)  # falls to nothing, so that the last passes settle
         read = output[:, 1] - output[:, 0]
         logit, row_value = np.zeros(len(y)), (embedding @ read).astype(np.float32)
-        for a, b, part in parts:
-            filled = a + np.flatnonzero(np.diff(indptr[a : b + 1]))
-            logit[filled] = np.add.reduceat(weights[part] * row_value[at[part]], indptr[filled] - indptr[a])
+        for p in some:
+            filled = np.flatnonzero(np.diff(p.indptr))
+            if len(filled):
+                logit[p.first + filled] = np.add.reduceat(p.weights * row_value[p.rows], p.indptr[filled])
         logit = SCALE * logit + bias[1] - bias[0]
         error = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y) / len(y)
         back = np.zeros(len(used))
-        for a, b, part in parts:
-            spread = np.repeat(error[a:b], np.diff(indptr[a : b + 1]))
-            back += np.bincount(at[part], weights[part] * spread, len(used))
+        for p in some:
+            spread = np.repeat(error[p.first : p.first + len(p.indptr) - 1], np.diff(p.indptr))
+            back += np.bincount(p.rows, p.weights * spread, len(used))
         back *= SCALE
         toward = embedding.T @ back
-        grads = (np.outer(back, read) + DECAY * embedding, np.stack([-toward, toward], 1), np.array([-error.sum(), error.sum()]))
-        for value, (m, v), g in zip(values, moments, grads, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        vectors = [(slice(i, i + SLICE), lambda at: np.outer(back[at], read) + DECAY * embedding[at]) for i in range(0, len(used), SLICE)]
+        whole = slice(None)
+        grads = (vectors, [(whole, lambda _: np.stack([-toward, toward], 1))], [(whole, lambda _: np.array([-error.sum(), error.sum()]))])
+        for value, (m, v), pieces in zip(values, moments, grads, strict=True):
+            for at, of in pieces:
+                g = of(at)
+                m[at] += 0.1 * (g - m[at])
+                v[at] += 0.001 * (g * g - v[at])
+                value[at] -= rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)
     out = np.zeros(1 << ROW_BITS, np.float32)
     out[used] = SCALE * (embedding @ (output[:, 1] - output[:, 0]))
     return Model(out, float(bias[1] - bias[0]))
@@ -213,11 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"].encode() for r in rows], np.array([int(r["toxic"] > 0) for r in rows]))
+    known_texts, marks = [r["text"].encode() for r in rows], np.array([int(r["toxic"] > 0) for r in rows])
+    del rows
+    return fit(known_texts, marks)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with the score of each text (null: empty) as a column. The broadcast model has 2 ** ROW_BITS floats."""
+    """docs with the score of each text (null: empty) as a column, in place of an own one of that name. The broadcast model has 2 ** ROW_BITS floats."""
     shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.bias))
 
     @F.pandas_udf("double")
@@ -228,7 +239,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents scored below the threshold, with all their columns."""
+    """The documents scored below the threshold, with all their columns; null texts count as empty, repeated rows stay or go together."""
     return with_score(docs, model, "__score").filter(F.col("__score") < threshold).select(*docs.columns)
 
 

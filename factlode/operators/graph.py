@@ -104,7 +104,9 @@ def shortest_paths(relations: DataFrame, source: str, target: str, depth: int =
 def _read_back(levels, source, target, kind, max_paths):
     paths = levels[-1].filter(F.col("to_id") == F.lit(target).cast(kind)).select(F.array("from_id", "to_id").alias("path"))
     for step in reversed(levels[:-1]):
-        # all paths here are equally long; keeping the least heads bounds the work, as every head leads back to the source
+        # equally long paths from one node have the same beginnings, so only its max_paths least can be among the least of all
+        least = Window.partitionBy(F.element_at("path", 1)).orderBy("path")
+        paths = paths.distinct().withColumn("__n", F.row_number().over(least)).filter(F.col("__n") <= max_paths).drop("__n")
         paths = paths.join(step, F.element_at("path", 1) == F.col("to_id")).select(F.concat(F.array("from_id"), "path").alias("path"))
     return paths.distinct().orderBy("path").limit(max_paths).select("path", F.lit(len(levels)).alias("hops"), F.lit("found").alias("status"))
 

@@ -1,4 +1,4 @@
-"""Traceability policies: the built-in ones as text, and the validation of a workspace's own."""
+"""Traceability policies: the built-in ones, and the validation of a workspace's own."""
 
 from __future__ import annotations
 
@@ -6,105 +6,116 @@ import hashlib
 
 from .trace import MISSING, SEVERITY, Policy, Stage
 
-# Built-in policies. A stage is name[!][+e]: entity types, "!" for required, "+e" for evidence; a
-# transition is from -> to: relation types.
+# Built-in policies.
 BUILTIN = {
-    "generic-engineering": """
-        requirement!: requirement business-rule constraint
-        design: design decision workflow
-        interface: interface data-model
-        implementation!: code-component code-symbol configuration database-object message-topic
-        verification!: acceptance-criterion test-case
-        evidence+e: test-result
-        requirement -> design: refines derived-from
-        requirement -> interface: refines contains derived-from
-        requirement -> implementation: implements partially-implements
-        design -> interface: refines contains
-        design -> implementation: implements partially-implements
-        interface -> implementation: implements partially-implements configures
-        implementation -> verification: verifies
-        requirement -> verification: verifies
-        verification -> evidence: evidenced-by verifies
-    """,
-    "api-service": """
-        requirement!: requirement business-rule
-        design: design decision constraint workflow
-        interface!: interface data-model
-        implementation!: code-component code-symbol configuration database-object message-topic
-        verification!: acceptance-criterion test-case
-        evidence!+e: test-result
-        requirement -> design: refines derived-from
-        requirement -> interface: refines contains
-        design -> interface: refines contains
-        interface -> implementation: implements partially-implements configures
-        implementation -> verification: verifies
-        verification -> evidence: evidenced-by verifies
-    """,
-    "event-driven-service": """
-        requirement!: requirement business-rule
-        design: design decision workflow
-        interface!: interface message-topic data-model
-        implementation!: code-component code-symbol configuration database-object
-        verification!: acceptance-criterion test-case
-        evidence+e: test-result
-        requirement -> design: refines derived-from
-        requirement -> interface: refines contains
-        design -> interface: refines contains
-        interface -> implementation: implements partially-implements publishes consumes configures
-        implementation -> verification: verifies
-        verification -> evidence: evidenced-by verifies
-    """,
-    "batch-processing": """
-        requirement!: requirement business-rule
-        workflow!: workflow batch-job
-        data: data-model database-object
-        implementation!: code-component code-symbol configuration
-        verification!: acceptance-criterion test-case
-        evidence+e: test-result
-        requirement -> workflow: refines derived-from contains
-        workflow -> data: reads writes contains refines
-        workflow -> implementation: implements partially-implements
-        data -> implementation: implements configures
-        implementation -> verification: verifies
-        verification -> evidence: evidenced-by verifies
-    """,
-    "japanese-v-model": """
-        requirement!: requirement business-rule
-        design!: design decision constraint
-        interface: interface data-model
-        implementation!: code-component code-symbol configuration database-object message-topic
-        verification!: test-case acceptance-criterion
-        test-result!+e: test-result
-        requirement -> design: refines derived-from
-        design -> interface: refines contains
-        design -> implementation: implements partially-implements
-        interface -> implementation: implements partially-implements configures
-        implementation -> verification: verifies
-        verification -> test-result: evidenced-by verifies
-    """,
-}
+    "generic-engineering": {
+        "stages": [
+            {"stage": "requirement", "entity_types": ["requirement", "business-rule", "constraint"], "required": True, "requires_evidence": False},
+            {"stage": "design", "entity_types": ["design", "decision", "workflow"], "required": False, "requires_evidence": False},
+            {"stage": "interface", "entity_types": ["interface", "data-model"], "required": False, "requires_evidence": False},
+            {"stage": "implementation", "entity_types": ["code-component", "code-symbol", "configuration", "database-object", "message-topic"], "required": True, "requires_evidence": False},
+            {"stage": "verification", "entity_types": ["acceptance-criterion", "test-case"], "required": True, "requires_evidence": False},
+            {"stage": "evidence", "entity_types": ["test-result"], "required": False, "requires_evidence": True},
+        ],
+        "transitions": [
+            {"from": "requirement", "to": "design", "relations": ["refines", "derived-from"]},
+            {"from": "requirement", "to": "interface", "relations": ["refines", "contains", "derived-from"]},
+            {"from": "requirement", "to": "implementation", "relations": ["implements", "partially-implements"]},
+            {"from": "design", "to": "interface", "relations": ["refines", "contains"]},
+            {"from": "design", "to": "implementation", "relations": ["implements", "partially-implements"]},
+            {"from": "interface", "to": "implementation", "relations": ["implements", "partially-implements", "configures"]},
+            {"from": "implementation", "to": "verification", "relations": ["verifies"]},
+            {"from": "requirement", "to": "verification", "relations": ["verifies"]},
+            {"from": "verification", "to": "evidence", "relations": ["evidenced-by", "verifies"]},
+        ],
+    },
+    "api-service": {
+        "stages": [
+            {"stage": "requirement", "entity_types": ["requirement", "business-rule"], "required": True, "requires_evidence": False},
+            {"stage": "design", "entity_types": ["design", "decision", "constraint", "workflow"], "required": False, "requires_evidence": False},
+            {"stage": "interface", "entity_types": ["interface", "data-model"], "required": True, "requires_evidence": False},
+            {"stage": "implementation", "entity_types": ["code-component", "code-symbol", "configuration", "database-object", "message-topic"], "required": True, "requires_evidence": False},
+            {"stage": "verification", "entity_types": ["acceptance-criterion", "test-case"], "required": True, "requires_evidence": False},
+            {"stage": "evidence", "entity_types": ["test-result"], "required": True, "requires_evidence": True},
+        ],
+        "transitions": [
+            {"from": "requirement", "to": "design", "relations": ["refines", "derived-from"]},
+            {"from": "requirement", "to": "interface", "relations": ["refines", "contains"]},
+            {"from": "design", "to": "interface", "relations": ["refines", "contains"]},
+            {"from": "interface", "to": "implementation", "relations": ["implements", "partially-implements", "configures"]},
+            {"from": "implementation", "to": "verification", "relations": ["verifies"]},
+            {"from": "verification", "to": "evidence", "relations": ["evidenced-by", "verifies"]},
+        ],
+    },
+    "event-driven-service": {
+        "stages": [
+            {"stage": "requirement", "entity_types": ["requirement", "business-rule"], "required": True, "requires_evidence": False},
+            {"stage": "design", "entity_types": ["design", "decision", "workflow"], "required": False, "requires_evidence": False},
+            {"stage": "interface", "entity_types": ["interface", "message-topic", "data-model"], "required": True, "requires_evidence": False},
+            {"stage": "implementation", "entity_types": ["code-component", "code-symbol", "configuration", "database-object"], "required": True, "requires_evidence": False},
+            {"stage": "verification", "entity_types": ["acceptance-criterion", "test-case"], "required": True, "requires_evidence": False},
+            {"stage": "evidence", "entity_types": ["test-result"], "required": False, "requires_evidence": True},
+        ],
+        "transitions": [
+            {"from": "requirement", "to": "design", "relations": ["refines", "derived-from"]},
+            {"from": "requirement", "to": "interface", "relations": ["refines", "contains"]},
+            {"from": "design", "to": "interface", "relations": ["refines", "contains"]},
+            {"from": "interface", "to": "implementation", "relations": ["implements", "partially-implements", "publishes", "consumes", "configures"]},
+            {"from": "implementation", "to": "verification", "relations": ["verifies"]},
+            {"from": "verification", "to": "evidence", "relations": ["evidenced-by", "verifies"]},
+        ],
+    },
+    "batch-processing": {
+        "stages": [
+            {"stage": "requirement", "entity_types": ["requirement", "business-rule"], "required": True, "requires_evidence": False},
+            {"stage": "workflow", "entity_types": ["workflow", "batch-job"], "required": True, "requires_evidence": False},
+            {"stage": "data", "entity_types": ["data-model", "database-object"], "required": False, "requires_evidence": False},
+            {"stage": "implementation", "entity_types": ["code-component", "code-symbol", "configuration"], "required": True, "requires_evidence": False},
+            {"stage": "verification", "entity_types": ["acceptance-criterion", "test-case"], "required": True, "requires_evidence": False},
+            {"stage": "evidence", "entity_types": ["test-result"], "required": False, "requires_evidence": True},
+        ],
+        "transitions": [
+            {"from": "requirement", "to": "workflow", "relations": ["refines", "derived-from", "contains"]},
+            {"from": "workflow", "to": "data", "relations": ["reads", "writes", "contains", "refines"]},
+            {"from": "workflow", "to": "implementation", "relations": ["implements", "partially-implements"]},
+            {"from": "data", "to": "implementation", "relations": ["implements", "configures"]},
+            {"from": "implementation", "to": "verification", "relations": ["verifies"]},
+            {"from": "verification", "to": "evidence", "relations": ["evidenced-by", "verifies"]},
+        ],
+    },
+    "japanese-v-model": {
+        "stages": [
+            {"stage": "requirement", "entity_types": ["requirement", "business-rule"], "required": True, "requires_evidence": False},
+            {"stage": "design", "entity_types": ["design", "decision", "constraint"], "required": True, "requires_evidence": False},
+            {"stage": "interface", "entity_types": ["interface", "data-model"], "required": False, "requires_evidence": False},
+            {"stage": "implementation", "entity_types": ["code-component", "code-symbol", "configuration", "database-object", "message-topic"], "required": True, "requires_evidence": False},
+            {"stage": "verification", "entity_types": ["test-case", "acceptance-criterion"], "required": True, "requires_evidence": False},
+            {"stage": "test-result", "entity_types": ["test-result"], "required": True, "requires_evidence": True},
+        ],
+        "transitions": [
+            {"from": "requirement", "to": "design", "relations": ["refines", "derived-from"]},
+            {"from": "design", "to": "interface", "relations": ["refines", "contains"]},
+            {"from": "design", "to": "implementation", "relations": ["implements", "partially-implements"]},
+            {"from": "interface", "to": "implementation", "relations": ["implements", "partially-implements", "configures"]},
+            {"from": "implementation", "to": "verification", "relations": ["verifies"]},
+            {"from": "verification", "to": "test-result", "relations": ["evidenced-by", "verifies"]},
+        ],
+    },
+}
 
 
-def read(text: str, **rules) -> Policy:
-    """A policy from its text; rules are further fields of Policy. Errors are raised together."""
-    stages, transitions, errors = [], [], []
-    for line in filter(None, map(str.strip, text.splitlines())):
-        left, colon, right = line.partition(":")
-        names = tuple(right.split())
-        if not colon or not names:
-            errors.append(f"no names in: {line}")
-        elif "->" in left:
-            a, b = (x.strip() for x in left.split("->", 1))
-            transitions.append((a, b, names))
-        else:
-            bare = left.replace("+e", "").replace("!", "").strip()
-            stages.append(Stage(bare, names, "!" in left, "+e" in left))
+def read(declared: dict, **rules) -> Policy:
+    """A policy from its stages and transitions, as in BUILTIN; rules are further fields of Policy. Errors are raised together."""
+    stages = [Stage(s["stage"], tuple(s["entity_types"]), s.get("required", False), s.get("requires_evidence", False)) for s in declared.get("stages", [])]
+    transitions = [(t["from"], t["to"], tuple(t["relations"])) for t in declared.get("transitions", [])]
+    errors = [f"no entity types in stage {s.name}" for s in stages if not s.entity_types]
+    errors += [f"no relations from {a} to {b}" for a, b, names in transitions if not names]
     known = [s.name for s in stages]
     errors += [f"unknown stage {n}" for a, b, _ in transitions for n in (a, b) if n not in known]
     errors += [f"unknown stage name {n}" for n in known[1:] if n not in MISSING]
     errors += [f"stage {n} is given twice" for n in {n for n in known if known.count(n) > 1}]
     errors += [f"a transition may not go from {a} back to {b}" for a, b, _ in transitions if a in known and b in known and known.index(a) >= known.index(b)]
-    levels = {*SEVERITY, "critical"}
+    levels = {*SEVERITY.values(), "critical"}
     errors += [f"unknown severity {v}" for v in rules.get("severities", {}).values() if v not in levels]
     if not stages or not stages[0].required:
         errors.append("the first stage must be required")

@@ -75,14 +75,12 @@ def scan_file(path: str, text: str) -> list[tuple]:
     defined, called = set(), set()
     code = code_lines(text, lang)
     for number, line in code:
-        for pattern, kind in lang.definitions:
-            m = re.match(pattern, line)
-            if m:
-                rows.append((path, "definition", m[1], kind, number))
-                defined.add(number)
-                break
-        rows += [(path, "entry", kind, kind, number) for pattern, kind in lang.entries if re.search(pattern, line)]
-        rows += [(path, "import", m[1], lang.style, number) for p in lang.imports if (m := re.search(p, line))]
+        found = lang.definition(line)
+        if found:
+            rows.append((path, "definition", *found, number))
+            defined.add(number)
+        rows += [(path, "entry", kind, kind, number) for kind in lang.entered(line)]
+        rows += [(path, "import", name, lang.style, number) for name in lang.imported(line)]
         if number not in defined:
             called |= {n for n in _CALL.findall(line) if n not in languages.NOT_CALLS}
     if lang.name == "Python":

@@ -67,7 +67,7 @@ def conflict_reconcile(spark, sf_dir):
 
 
 def _segments(spark, sf_dir, after):
-    t = table(spark, sf_dir, "documents").filter("doc_id % 10 < 4").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("n", "line"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("n", "line"))
     if after:
         t = t.filter("n % 9 <> 4").withColumn("line", F.when(F.col("n") % 7 == 3, F.upper("line")).otherwise(F.col("line")))
     else:
@@ -86,7 +86,7 @@ def segment_diff(spark, sf_dir):
 def risk_max(spark, sf_dir):
     """The highest risk of each user's events under a made ranking of event types."""
     level = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "signup", "medium").otherwise("low")
-    return overlay.max_level(table(spark, sf_dir, "events").filter("event_id % 7 = 0").select("user_id", level.alias("level")), ["user_id"], "level")
+    return overlay.max_level(table(spark, sf_dir, "events").select("user_id", level.alias("level")), ["user_id"], "level")
 
 
 def pair_generation(spark, sf_dir):
@@ -121,11 +121,11 @@ ORACLES = {
         SELECT a.subject, a.id AS a, b.id AS b FROM r a JOIN r b ON a.subject = b.subject AND a.id < b.id AND a.v <> b.v QUALIFY row_number() OVER (PARTITION BY a.subject ORDER BY a.id, b.id) <= 50""",
     "conflict_authoritative": f"WITH {_PF} SELECT a.subject, a.id AS a, count(*) AS others FROM f a JOIN f b ON a.subject = b.subject AND a.v <> b.v WHERE a.auth GROUP BY 1, 2",
     "conflict_reconcile": """SELECT * FROM (VALUES ('k1', 'observe'), ('k2', 'supersede'), ('k3', 'suppress'), ('k4', 'reopen'), ('k5', 'supersede'), ('k6', 'create'), ('k10', 'create'), ('k7', 'stale'), ('k8', 'reopen'), ('k9', 'stale')) v(dedup_key, action)""",
-    "segment_diff": """WITH t AS (SELECT doc_id, unnest(range(len(l))) AS n, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 10 < 4)),
+    "segment_diff": """WITH t AS (SELECT doc_id, unnest(range(len(l))) AS n, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
         b AS (SELECT doc_id, n, sha256(l[n + 1]) AS h FROM t WHERE n % 11 <> 6), a AS (SELECT doc_id, n, sha256(CASE WHEN n % 7 = 3 THEN upper(l[n + 1]) ELSE l[n + 1] END) AS h FROM t WHERE n % 9 <> 4),
         c AS (SELECT coalesce(a.doc_id, b.doc_id) AS asset, CASE WHEN a.n IS NULL THEN 'deleted' WHEN b.n IS NULL THEN 'added' WHEN a.h <> b.h THEN 'modified' WHEN a.doc_id % 10 = 1 THEN 'moved'
           WHEN a.doc_id % 10 = 2 AND a.n < 3 THEN 'context-changed' ELSE 'unchanged' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id AND a.n = b.n) SELECT asset, change, count(*) AS segments FROM c GROUP BY 1, 2""",
-    "risk_max": """SELECT user_id, ['low', 'medium', 'high', 'critical'][max(CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END)] AS level FROM events WHERE event_id % 7 = 0 GROUP BY 1""",
+    "risk_max": """SELECT user_id, ['low', 'medium', 'high', 'critical'][max(CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END)] AS level FROM events GROUP BY 1""",
     "pair_generation": "SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text IS NOT DISTINCT FROM b.text AND a.doc_id < b.doc_id ORDER BY a, b LIMIT 40",
     "quote_verify": r"""WITH q AS (SELECT item_id AS quote_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents)
         SELECT q.quote_id, count(d.doc_id) AS docs, min(d.doc_id) AS first_doc, CASE WHEN count(d.doc_id) > 0 THEN 'verified' ELSE 'missing' END AS status FROM q LEFT JOIN d ON contains(d.t, q.t) GROUP BY 1""",

@@ -59,10 +59,10 @@ def module_edge_weights(spark, sf_dir):
 
 
 def call_graph_ambiguous(spark, sf_dir):
-    """Parts of a brand as files that define their type, other parts as callers of a name."""
+    """Large parts of a brand as files that define their type, all other parts as callers of a name."""
     p = table(spark, sf_dir, "part")
-    calls = p.filter("p_size < 3").select(F.col("p_brand").alias("path"), F.col("p_type").alias("symbol"))
-    definitions = p.filter("p_size between 10 and 11").select(F.concat(F.lit("def/"), F.col("p_brand")).alias("path"), F.col("p_type").alias("symbol"))
+    calls = p.filter("p_size <= 25").select(F.col("p_brand").alias("path"), F.col("p_type").alias("symbol"))
+    definitions = p.filter("p_size > 25").select(F.concat(F.lit("def/"), F.col("p_brand")).alias("path"), F.col("p_type").alias("symbol"))
     return rollups.call_graph(calls, definitions)
 
 
@@ -94,7 +94,7 @@ def gap_missing_stage(spark, sf_dir):
     first = c.join(o.select(F.col("o_custkey").alias("k")).distinct(), "k", "left_anti").select("k", F.lit("missing-design").alias("gap_type"), F.lit(1).alias("severity_rank"))
     lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")).distinct()
     second = o.join(lines, "k", "left_anti").select("k", F.lit("missing-implementation").alias("gap_type"), F.lit(0).alias("severity_rank"))
-    return first.unionByName(second).orderBy("severity_rank", "gap_type", "k").limit(500)
+    return first.unionByName(second)
 
 
 def json_props(spark, sf_dir):
@@ -147,7 +147,7 @@ ORACLES = {
     "module_edge_weights": """WITH n AS (SELECT n_nationkey AS k, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey)
         SELECT a.r AS from_module, b.r AS to_module, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey
         JOIN n a ON s_nationkey = a.k JOIN n b ON c_nationkey = b.k WHERE a.r <> b.r GROUP BY 1, 2""",
-    "call_graph_ambiguous": """WITH c AS (SELECT DISTINCT p_brand AS f, p_type AS s FROM part WHERE p_size < 3), d AS (SELECT DISTINCT 'def/' || p_brand AS t, p_type AS s FROM part WHERE p_size BETWEEN 10 AND 11)
+    "call_graph_ambiguous": """WITH c AS (SELECT DISTINCT p_brand AS f, p_type AS s FROM part WHERE p_size <= 25), d AS (SELECT DISTINCT 'def/' || p_brand AS t, p_type AS s FROM part WHERE p_size > 25)
         SELECT f AS from_path, t AS to_path, s AS symbol, (SELECT count(*) FROM d e WHERE e.s = c.s) > 1 AS ambiguous FROM c JOIN d USING (s) WHERE f <> t QUALIFY row_number() OVER (PARTITION BY f ORDER BY s, t) <= 120""",
     "external_top": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 50",
     "template_score": """WITH r(target, pattern, points) AS (VALUES ('metal', 'steel', 3), ('metal', 'tin', 2), ('paint', 'red', 3), ('paint', 'blue', 3), ('wood', 'oak', 1), ('paint', 'economy', 1), ('metal', 'standard', 1)),
@@ -157,7 +157,7 @@ ORACLES = {
         CASE WHEN o_orderpriority[1] = '5' THEN 0 ELSE count(*) FILTER (o_orderstatus <> 'O') END AS denominator FROM orders GROUP BY 1)
         SELECT *, CASE WHEN denominator > 0 THEN round(100.0::DOUBLE * numerator / denominator, 2) END AS percentage FROM g""",
     "gap_missing_stage": """SELECT * FROM (SELECT c_custkey AS k, 'missing-design' AS gap_type, 1 AS severity_rank FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-        UNION ALL SELECT o_orderkey, 'missing-implementation', 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) ORDER BY severity_rank, gap_type, k LIMIT 500""",
+        UNION ALL SELECT o_orderkey, 'missing-implementation', 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))""",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY 1",
     "integrity_check": """SELECT 'duplicate-key' AS check, count(*) AS findings FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'null-key', count(*) FROM orders WHERE o_orderkey IS NULL
         UNION ALL SELECT 'missing-parent', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0)""",

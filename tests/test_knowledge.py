@@ -52,9 +52,13 @@ def test_policies(spark):
     for name in policies.BUILTIN:
         assert policies.builtin(name).required()[0] == "requirement"
     assert policies.builtin("api-service").checksum != policies.builtin("api-service", max_depth=3).checksum
-    for bad in ("design: design", "requirement!: a\nverification!: b", "requirement!: a\ndesign: b\nrequirement -> nowhere: x", "requirement!: a\ndesign: b\ndesign -> requirement: x", "requirement!:"):
+    stage = lambda name, *types, required=False: {"stage": name, "entity_types": list(types), "required": required}
+    hop = lambda a, b: {"from": a, "to": b, "relations": ["x"]}
+    first, design = stage("requirement", "a", required=True), stage("design", "b")
+    assert policies.read({"stages": [first, design], "transitions": [hop("requirement", "design")]}).required() == ["requirement"]
+    for stages, transitions in (([design], []), ([first, stage("verification", "b", required=True)], []), ([first, design], [hop("requirement", "nowhere")]), ([first, design], [hop("design", "requirement")]), ([stage("requirement", required=True)], []), ([], [])):
         with pytest.raises(ValueError):
-            policies.read(bad)
+            policies.read({"stages": stages, "transitions": transitions})
 
 
 def test_gap_reconcile(spark):

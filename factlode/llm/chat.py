@@ -45,8 +45,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int =
     turns: (conv_id, turn, role, text). Turns are ordered by turn (null first), role, text; null roles and
     texts are empty; a null conv_id is a conversation of its own; repeated rows stay. window ascends within a
     conversation; the first n_context turns of formatted are repeated context; loss has (start, end) code points
-    of formatted, end exclusive. A span holds at most budget - history_tokens - the system turn's tokens (but
-    budget / 4 at least), or a single turn that may exceed that: it crosses a border of the prefix sums.
+    of formatted, end exclusive. A window has at most budget tokens: the span takes what the system turn and the history
+    leave, and history gives way first where that would be less than budget / 4. A system turn that leaves less even so isn't
+    repeated. Only a span of a single turn may exceed the budget: turns stay whole, and it crosses a border of the prefix sums.
     """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("tokens", tokens(F.col("text")))
@@ -55,7 +56,11 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int =
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lead = F.first(F.when((F.col("n") == 1) & (F.col("role") == "system"), F.struct("role", "text", "tokens")))
     t = t.withColumn("system", lead.over(whole))
-    room = F.greatest(F.lit(budget - history_tokens) - F.coalesce("system.tokens", F.lit(0)), F.lit(budget // 4)).cast("long")
+    least = budget // 4
+    t = t.withColumn("repeated", F.when(F.col("system.tokens") <= budget - least, F.col("system")))
+    fixed = F.coalesce("repeated.tokens", F.lit(0))
+    t = t.withColumn("history_room", F.least(F.lit(history_tokens), F.lit(budget - least) - fixed).cast("long"))
+    room = (F.lit(budget) - F.col("history_room") - fixed).cast("long")
     first_cell, last_cell = F.floor((F.col("until") - F.col("tokens")) / room), F.floor((F.col("until") - 1) / room)
     t = t.withColumn("span", (first_cell * 2 + (first_cell != last_cell).cast("long")).cast("long"))
     before, spent = [], F.lit(0)
@@ -64,10 +69,10 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int =
     t = t.withColumns(lags)
     for i in range(1, history_turns + 1):
         spent = spent + F.col(f"lag{i}.tokens")
-        usable = F.col("opens") & F.col(f"lag{i}").isNotNull() & (spent <= history_tokens) & ~((F.col(f"lag{i}.n") == 1) & F.col("system").isNotNull())
+        usable = F.col("opens") & F.col(f"lag{i}").isNotNull() & (spent <= F.col("history_room")) & ~((F.col(f"lag{i}.n") == 1) & F.col("system").isNotNull())
         before.append(F.when(usable, F.struct(F.col(f"lag{i}.role").alias("role"), F.col(f"lag{i}.text").alias("text"))))
     history = F.filter(F.array(*reversed(before)), lambda x: x.isNotNull()) if before else F.lit([]).cast("array<struct<role:string,text:string>>")
-    t = t.select("conv_id", "span", "n", "role", "text", "system", F.when(F.col("opens"), history).alias("history"))
+    t = t.select("conv_id", "span", "n", "role", "text", F.col("repeated").alias("system"), F.when(F.col("opens"), history).alias("history"))
     w = t.groupBy("conv_id", "span").agg(
         F.sort_array(F.collect_list(F.struct("n", "role", "text"))).alias("own"),
         F.first("history", ignorenulls=True).alias("history"),
@@ -136,7 +141,9 @@ b AS (
   SELECT *, sum(tokens) OVER o AS until, max(CASE WHEN n = 1 AND role = 'system' THEN tokens END) OVER p AS sys_tokens,
          max(CASE WHEN n = 1 AND role = 'system' THEN chars END) OVER p AS sys_chars
   FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY n), p AS (PARTITION BY conv_id)),
-c AS (SELECT *, CAST(greatest(768 - coalesce(sys_tokens, 0), 256) AS BIGINT) AS room FROM b),
+r AS (SELECT *, CASE WHEN sys_tokens <= 768 THEN sys_tokens ELSE 0 END AS fixed, CASE WHEN sys_tokens <= 768 THEN sys_chars END AS again FROM b),
+s AS (SELECT *, least(256, 768 - fixed) AS history FROM (SELECT * REPLACE (coalesce(fixed, 0) AS fixed) FROM r)),
+c AS (SELECT *, CAST(1024 - history - fixed AS BIGINT) AS room FROM s),
 d AS (SELECT *, CAST(until - tokens AS BIGINT) // room AS c0, CAST(until - 1 AS BIGINT) // room AS c1 FROM c),
 e AS (SELECT *, c0 * 2 + CASE WHEN c0 <> c1 THEN 1 ELSE 0 END AS span FROM d),
 f AS (
@@ -145,9 +152,9 @@ f AS (
   FROM e WINDOW o AS (PARTITION BY conv_id ORDER BY n)),
 g AS (
   SELECT *, chars
-    + CASE WHEN opens AND n > 1 THEN coalesce(sys_chars, 0) ELSE 0 END
-    + CASE WHEN opens AND t1 <= 256 AND NOT (n = 2 AND sys_tokens IS NOT NULL) THEN ch1 ELSE 0 END
-    + CASE WHEN opens AND t1 + t2 <= 256 AND NOT (n = 3 AND sys_tokens IS NOT NULL) THEN ch2 ELSE 0 END AS out_chars
+    + CASE WHEN opens AND n > 1 THEN coalesce(again, 0) ELSE 0 END
+    + CASE WHEN opens AND t1 <= history AND NOT (n = 2 AND sys_tokens IS NOT NULL) THEN ch1 ELSE 0 END
+    + CASE WHEN opens AND t1 + t2 <= history AND NOT (n = 3 AND sys_tokens IS NOT NULL) THEN ch2 ELSE 0 END AS out_chars
   FROM f)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

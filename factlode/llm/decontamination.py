@@ -16,8 +16,11 @@ from ._common import ascii_lower, cut
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
-#: Benchmark rows (anchors or windows of some 200 bytes) up to which that side of a join is broadcast.
+#: Benchmark rows (anchors or windows) up to which that side of a join is broadcast, and the bytes of their texts.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
+#: Wanted anchors of a document up to which each of its windows looks through all of them; more are searched by halves.
+FEW = 32
 #: ASCII letters and digits and all non-ASCII characters, in two predicates, which Java matches far faster than five ranges.
 WORD = r"[\p{Alnum}\P{ASCII}]+"
 
@@ -57,9 +60,23 @@ def windows_at(words: Column, length: int, starts: Column) -> Column:
 
 
 def bounded(side: DataFrame, limit: int) -> DataFrame:
-    """A checkpointed side, with a broadcast hint only if its counted rows are within the limit."""
+    """A checkpointed side, with a broadcast hint only if its counted rows and the bytes of its texts are within their limits."""
     side = cut(side)
-    return F.broadcast(side) if side.count() <= limit else side
+    texts = [F.octet_length(name) for name, kind in side.dtypes if kind == "string"]
+    rows, size = side.agg(F.count("*"), F.sum(sum(texts, F.lit(0)).cast("long"))).first()
+    return F.broadcast(side) if rows <= limit and (size or 0) <= BROADCAST_BYTES else side
+
+
+def among(x: Column, ascending: Column) -> Column:
+    """Whether x is in an ascending array, in steps that grow with the logarithm of its length."""
+    halves = [1 << i for i in reversed(range(31))]
+
+    def step(at: Column, half: Column) -> Column:
+        return F.when((at + half <= F.size(ascending)) & (F.get(ascending, at + half - 1) <= x), at + half).otherwise(at)
+
+    fitting = F.filter(F.array(*[F.lit(h) for h in halves]), lambda h: h <= F.size(ascending))
+    found = F.aggregate(fitting, F.lit(0), step)
+    return F.when(F.size(ascending) <= FEW, F.array_contains(ascending, x)).otherwise((found > 0) & (F.get(ascending, found - 1) == x))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -98,8 +115,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadc
     found = own.alias("d").join(met.alias("m"), same).select("d.doc_id", "d.th", words_of(F.col("d.text")).alias("words"), "met")
 
     def extended(n: int) -> Column:
-        wanted = F.transform(F.filter("met", lambda m: m["length"] == n), lambda m: m["anchor"])
-        flagged = F.transform(window_anchors(F.col("words"), n), lambda a, i: F.when(F.array_contains(F.col(f"wanted_{n}"), a), i))
+        wanted = F.sort_array(F.transform(F.filter("met", lambda m: m["length"] == n), lambda m: m["anchor"]))
+        flagged = F.transform(window_anchors(F.col("words"), n), lambda a, i: F.when(among(a, F.col(f"wanted_{n}")), i))
         return wanted, windows_at(F.col("words"), n, F.filter(flagged, lambda i: i.isNotNull()))
 
     found = found.withColumns({f"wanted_{n}": extended(n)[0] for n in lengths})
@@ -143,7 +160,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
+    """The documents that aren't contaminated, with all their columns. Null texts have no words and stay; repeated rows stay or go together."""
     bad = judge(docs.select("doc_id", "text"), benchmark).filter("contaminated").select("doc_id", "th").distinct()
     bad = bad.select(F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (F.xxhash64(docs["text"]) == F.col("__bad_th")), "left_anti")

@@ -51,3 +51,21 @@ def test_empty(spark):
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a", "x", 1), (1, 1, "assistant", "b", "y", 2)], SCHEMA + ", span string, n int")
     assert chat.read_back(chat.format_windows(df)).first().targets == ["b"]
+
+
+def test_budget_holds_beside_long_system_turns(spark):
+    rnd = random.Random(4)
+    rows = []
+    for c, system in enumerate((0, 400, 2000, 2368, 3000, 3043, 3044, 6000, 20000)):
+        rows.append((c, 0, "system", "s" * system))
+        rows += [(c, t, ("assistant", "user")[t % 2], "x" * rnd.choice((10, 100, 600, 900))) for t in range(1, 40)]
+    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA)).collect()
+    tokens = lambda t: len(chat_text(t)) // 4 + chat.MARKER_TOKENS
+    repeated = {c: 0 for c in range(9)}
+    for w in windows:
+        turns = w.formatted.split("</turn>")[:-1]
+        own = turns[w.n_context :]
+        assert sum(map(tokens, turns)) <= chat.BUDGET or len(own) == 1
+        assert sum(map(tokens, turns)) <= chat.BUDGET or w.conv_id >= 5
+        repeated[w.conv_id] += w.n_context > 0 and turns[0].startswith("<turn>system")
+    assert all(repeated[c] > 3 for c in range(6)) and repeated[6] == repeated[7] == repeated[8] == 0

@@ -3,8 +3,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from factlode.llm import decontamination as dc
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -90,14 +88,6 @@ def test_items_without_id(spark, as_tables):
     assert [r.doc_id for r in left.collect()] == [3]
 
 
-def test_search_by_halves(spark):
-    rnd = random.Random(6)
-    rows = [(sorted(rnd.sample(range(-500, 500), n)), rnd.randint(-510, 510)) for n in (0, 1, 2, 31, 32, 33, 64, 100, 500) for _ in range(40)]
-    df = spark.createDataFrame(rows, "a array<bigint>, x bigint")
-    for r in df.withColumn("there", dc.among(F.col("x"), F.col("a"))).collect():
-        assert bool(r.there) == (r.x in r.a), (r.x, r.a)
-
-
 def test_a_very_long_text_of_hits(spark):
     rnd = random.Random(7)
     text = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60_000))

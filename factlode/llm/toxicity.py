@@ -24,8 +24,9 @@ GRAMS = (3, 4, 5)
 MAX_LABELLED = 5000
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.3
-#: Texts are handled in groups of about so many bytes.
+#: Texts are handled in groups of about so many bytes, in scoring and in training.
 CHUNK_BYTES = 1 << 18
+TRAINING_BYTES = 1 << 16
 #: Full-batch passes, the first step, the scale of the mean and the decay of the vectors.
 PASSES = 120
 STEP = 0.02
@@ -87,12 +88,12 @@ def _counts(s: Subwords) -> np.ndarray:
     return 1 + sum(np.maximum(s.end - s.start + 3 - n, 0) for n in GRAMS)
 
 
-def groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of about CHUNK_BYTES together, with the index of the first."""
+def groups(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of about so many bytes together, with the index of the first."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK_BYTES:
+        if size >= most:
             yield first, texts[first : i + 1]
             first, size = i + 1, 0
     if first < len(texts):
@@ -112,7 +113,7 @@ class Part:
 def parts(texts: list[bytes]) -> list[Part]:
     """The texts' mean subword bags, a part for each group of texts; the parts are never copied into one."""
     out = []
-    for first, some in groups(texts):
+    for first, some in groups(texts, TRAINING_BYTES):
         s = subwords(some)
         words = np.bincount(s.owner, minlength=len(some))
         weight = 1.0 / (_counts(s) * words[s.owner])
@@ -155,15 +156,21 @@ class Model:
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
+    """A model of the labels of texts; see fit_parts."""
+    return fit_parts(parts(texts), labels)
+
+
+def fit_parts(some: list[Part], labels: np.ndarray) -> Model:
     """Train embedding and softmax together by full-batch Adam with decayed vectors. One class alone gives a constant.
 
+    The rows of the parts are numbered anew in place.
+
     With A the sparse mean matrix, E the embedding and W the outputs, logits are SCALE * A (E W) + b. Both gradients
     go through A^T error, so a pass reads A's entries twice whatever the width.
     """
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << ROW_BITS, np.float32), 20.0 if len(y) and y[0] else -20.0)
-    some = parts(texts)
     present = np.zeros(1 << ROW_BITS, bool)
     for p in some:
         present[p.rows] = True
@@ -172,14 +179,15 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     for p in some:
         p.rows = place[p.rows]
     rng = np.random.default_rng(SEED)
-    embedding, output = rng.normal(0, 0.1, (len(used), WIDTH)), rng.normal(0, 0.5, (WIDTH, 2))
+    # the vectors and their moments are the largest arrays beside the parts
+    embedding, output = rng.normal(0, 0.1, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 0.5, (WIDTH, 2))
     bias = np.log([1 - y.mean(), y.mean()])
     values = (embedding, output, bias)
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     for step in range(1, PASSES + 1):
         rate = STEP * (1 - (step - 1) / PASSES)  # falls to nothing, so that the last passes settle
         read = output[:, 1] - output[:, 0]
-        logit, row_value = np.zeros(len(y)), (embedding @ read).astype(np.float32)
+        logit, row_value = np.zeros(len(y)), embedding @ read.astype(np.float32)
         for p in some:
             filled = np.flatnonzero(np.diff(p.indptr))
             if len(filled):
@@ -191,7 +199,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
             spread = np.repeat(error[p.first : p.first + len(p.indptr) - 1], np.diff(p.indptr))
             back += np.bincount(p.rows, p.weights * spread, len(used))
         back *= SCALE
-        toward = embedding.T @ back
+        toward = (embedding.T @ back.astype(np.float32)).astype(np.float64)
         vectors = [(slice(i, i + SLICE), lambda at: np.outer(back[at], read) + DECAY * embedding[at]) for i in range(0, len(used), SLICE)]
         whole = slice(None)
         grads = (vectors, [(whole, lambda _: np.stack([-toward, toward], 1))], [(whole, lambda _: np.array([-error.sum(), error.sum()]))])
@@ -222,9 +230,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    known_texts, marks = [r["text"].encode() for r in rows], np.array([int(r["toxic"] > 0) for r in rows])
-    del rows
-    return fit(known_texts, marks)
+    marks = np.array([int(r["toxic"] > 0) for r in rows])
+    bags = parts([r["text"].encode() for r in rows])
+    del rows  # no text is needed in training
+    return fit_parts(bags, marks)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -9,13 +9,16 @@ scoring needs one number for each row, the difference of the two outputs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _words
+
 #: Rows of the embedding, its width, and the n-gram lengths in bytes.
 ROW_BITS = 18
 WIDTH = 8
@@ -214,6 +217,16 @@ def fit_parts(some: list[Part], labels: np.ndarray) -> Model:
     return Model(out, float(bias[1] - bias[0]))
 
 
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In: text and toxic of the whole sample. Out: one row, the model. Texts are dropped once their bags are known."""
+    some, labels = [], []
+    for rows, texts in _words.sliced(batches, "text"):
+        some += [replace(p, first=p.first + len(labels)) for p in parts(texts)]
+        labels += [int(y > 0) for y in rows["toxic"].to_pylist()]
+    model = fit_parts(some, np.array(labels))
+    yield pa.RecordBatch.from_arrays([pa.array([model.rows.tobytes()]), pa.array([model.bias])], ["rows", "bias"])
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from: crc32 of doc_id as text, mod 4, is 2."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -228,12 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     known = labels.select("doc_id", "toxic").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    marks = np.array([int(r["toxic"] > 0) for r in rows])
-    bags = parts([r["text"].encode() for r in rows])
-    del rows  # no text is needed in training
-    return fit_parts(bags, marks)
+    sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    # the sample is bounded, so one task takes it; only the model comes to the driver
+    found = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit_task, "rows binary, bias double").first()
+    return Model(np.frombuffer(found["rows"], np.float32), found["bias"]) if found else fit_parts([], np.zeros(0))
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_folder
 
-__all__ = ["SPACED_WORD", "ascii_lower", "cut", "n_parts", "prefix_sums", "shared_folder"]
+__all__ = ["SPACED_WORD", "ascii_lower", "cut", "n_parts", "prefix_sums", "release", "shared_folder"]
 
 #: Words between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +26,12 @@ def n_parts(df: DataFrame, floor: int = 1) -> int:
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffles that nothing refers to, which it does only when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def prefix_sums(values: Column) -> Column:
     """Inclusive running sums of an array of ints, in blocks of about the square root of its length."""
     def total(a: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import cut
+from ._common import cut, release
 from .components import components, of_group
 
 SHINGLE = 5
@@ -130,14 +130,23 @@ def _by_prefix(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.least("th_a", "th_b").alias("a"), F.greatest("th_a", "th_b").alias("b")).distinct()
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(th, component) of the texts (column text) that have a near copy; chains of near copies are one component."""
+def groups(docs: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """(th, component) of the texts (column text) that have a near copy; chains of near copies are one component.
+
+    met: pairs (a, b) of texts that another index brings together; they are compared like those of the bands.
+    """
     keyed = docs.select(text_key().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     lists = cut(_band_lists(keyed))
-    sets = keyed.dropDuplicates(["th"]).join(lists.select("th").distinct(), "th", "left_semi").mapInArrow(_sets, "th long, shingles array<long>")
+    pairs, listed = lists.filter("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b")), lists.select("th")
+    if met is not None:
+        met = cut(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        release(docs.sparkSession)  # the index's lists
+        pairs, listed = pairs.unionByName(met), listed.unionByName(met.select(F.explode(F.array("a", "b")).alias("th")))
+    sets = keyed.dropDuplicates(["th"]).join(listed.distinct(), "th", "left_semi").mapInArrow(_sets, "th long, shingles array<long>")
     sets = cut(sets)
     sizes = sets.select("th", F.size("shingles").alias("n"))
-    named = components(_alike(lists.filter("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b")).distinct(), sets))
+    named = components(_alike(pairs.distinct(), sets))
+    release(docs.sparkSession)  # the sets beside their pairs
     for candidates in (_to_pivots, lambda placed: _by_prefix(placed, sets)):
         links = _alike(candidates(_placed(lists, named, sizes)), sets)
         named = components(links.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))

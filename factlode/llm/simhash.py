@@ -126,6 +126,25 @@ def with_components(marked: DataFrame, max_bits: int = MAX_BITS, list_limit: int
     return marked.join(lookup, marked["fp"] == lookup["__fp"]).drop("__fp")
 
 
+def meetings(docs: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """(a, b): texts (likeness.text_key) that the index brings together, with no more rows than texts and links.
+
+    Texts of one fingerprint meet the least of them, and the least texts of linked fingerprints each other.
+    """
+    marked = cut(docs.select(likeness.text_key().alias("th"), fingerprint("text").alias("fp")).dropDuplicates(["th"]))
+    firsts = cut(marked.groupBy("fp").agg(F.min("th").alias("least")))
+    met = links(firsts.select("fp"), max_bits, list_limit)
+    for end in "ab":
+        met = of_group(met, firsts.select(F.col("fp").alias(end), F.col("least").alias(f"of_{end}")), end)
+    same = of_group(marked, firsts, "fp").filter("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b"))
+    return same.unionByName(met.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+
+
+def _near_copies(docs: DataFrame) -> DataFrame:
+    """(th, component): texts that meet in the index and are alike as whole shingle sets, and those of more than MAX_BITS that likeness finds beside."""
+    return likeness.groups(docs, meetings(docs))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (any columns, with doc_id and text) with fp and component_id, the least doc_id of the text's near copies; see likeness.groups.
 
@@ -134,21 +153,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     marked = docs.drop("component_id").withColumn("fp", fingerprint("text")).withColumn("__own", likeness.text_key())
     firsts = docs.groupBy(likeness.text_key().alias("th")).agg(F.min("doc_id").alias("least"))
-    named = cut(firsts.join(likeness.groups(docs), "th", "left").select("th", "least", F.coalesce("component", "th").alias("component")))
+    named = cut(firsts.join(_near_copies(docs), "th", "left").select("th", "least", F.coalesce("component", "th").alias("component")))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     lookup = of_group(named, names, "component").select(F.col("th").alias("__th"), "component_id")
     return marked.join(lookup, marked["__own"] == lookup["__th"]).drop("__own", "__th")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies (likeness.groups), that with the least doc_id, with all its columns.
+    """One document of each group of near copies (found by fingerprints, then likeness.groups), that with the least doc_id, with all its columns.
 
     A repeated row of that document goes too. Of a group without doc_ids the row with the least xxhash64 of its
     text stays.
     """
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), likeness.text_key().alias("th"))
     firsts = docs.groupBy(likeness.text_key().alias("th")).agg(F.min(place).alias("least"))
-    named = firsts.join(likeness.groups(docs), "th", "left").select("least", F.coalesce("component", "th").alias("component"))
+    named = firsts.join(_near_copies(docs), "th", "left").select("least", F.coalesce("component", "th").alias("component"))
     heads = cut(named.groupBy("component").agg(F.min("least").alias("h")).select(F.col("h.id").alias("__id"), F.col("h.th").alias("__th")))
     # plain keys, so that the join and the removal of repeated rows share one shuffle of the texts
     keys = lambda id, th: {"__none": id.isNull(), "__id": F.coalesce(id.cast("string"), F.lit("")), "__th": th}

@@ -75,3 +75,17 @@ def test_large_group_of_variants_against_brute_force(spark):
     want = brute(rows)
     assert 10 < len(set(want.values())) < 200
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
+
+
+def test_copies_come_through_the_index_of_fingerprints(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = [f"v{rnd.randrange(3000)}" for _ in range(400)]
+    rows = [(i, " ".join(base[:390] + [f"u{j}" for j in range(390, 390 + i)])) for i in range(6)] + [(6, " ".join(base[::-1])), (7, ""), (8, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {r.th: r.text for r in df.select(likeness.text_key().alias("th"), "text").collect()}
+    met = [(texts[r.a], texts[r.b]) for r in simhash.meetings(df).collect()]
+    assert {"", "  "} in [set(pair) for pair in met] and rows[6][1] not in {t for pair in met for t in pair}
+    # without the bands the pairs of the fingerprints alone are compared and linked
+    monkeypatch.setattr(likeness, "_band_lists", lambda keyed: keyed.limit(0).selectExpr("th as id", "th", "th as least"))
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert set(brute(rows).values()) <= kept and not {5, 8} <= kept and len(kept) < 8

@@ -27,7 +27,10 @@ def n_parts(df: DataFrame, floor: int = 1) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffles that nothing refers to, which it does only when the driver's JVM collects its garbage."""
+    """Have Spark delete the shuffles and checkpoints that nothing refers to, which it does only when the driver's JVM collects its garbage.
+
+    After a cut these are the shuffles that led to it, if no variable holds the frame that was cut.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, release
 
 
 def of_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
@@ -33,11 +33,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is the least node reachable.
 
     edges: (a, b), any order, repeats and loops allowed; components of some edges, as (node, component), stand for
-    those. Nothing but whether the edges are stars comes to the driver; each round's edges are checkpointed.
+    those. Nothing but whether the edges are stars comes to the driver; each round's edges are checkpointed, and
+    the shuffles behind them released.
     """
     e = cut(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     for _ in range(max_rounds):
+        release(edges.sparkSession)
         if _are_stars(e):
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

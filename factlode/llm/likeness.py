@@ -94,7 +94,9 @@ def _placed(lists: DataFrame, named: DataFrame, sizes: DataFrame) -> DataFrame:
     """(id, th, c, n) of the lists whose members are in several components; n is the number of a text's shingles. named: (node, component)."""
     placed = lists.select("id", "th").join(named.withColumnRenamed("node", "th"), "th", "left").select("id", "th", F.coalesce("component", "th").alias("c"))
     mixed = placed.groupBy("id").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("id")
-    return cut(of_group(placed, mixed, "id").join(sizes, "th").select("id", "th", "c", "n"))
+    found = cut(of_group(placed, mixed, "id").join(sizes, "th").select("id", "th", "c", "n"))
+    release(lists.sparkSession)
+    return found
 
 
 def _near(a: str, b: str) -> Column:
@@ -115,12 +117,15 @@ def _by_prefix(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts in different components whose sets, rarest shingles first, share one in the part that likeness 0.8 needs."""
     texts = placed.groupBy("th").agg(F.first("c").alias("c"), F.first("n").alias("n"))
     each = cut(sets.join(texts, "th").select("th", "c", "n", F.explode("shingles").alias("s")))
+    release(sets.sparkSession)
     rows = each.groupBy("s").agg(F.count("*").alias("rows"), F.min("c").alias("low"), F.max("c").alias("high"))
     # a set of n shingles shares at least 4 n / 5 of them with one of likeness 0.8, so one of any n / 5 + 1
     order = F.sort_array(F.collect_list(F.struct("rows", "s", (F.col("low") < F.col("high")).alias("mixed"))))  # a text's own
     prefix = of_group(each, rows, "s").groupBy("th", "c", "n").agg(order.alias("o"))
     prefix = prefix.select("th", "c", "n", F.posexplode(F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)).alias("at", "x"))
     prefix = cut(prefix.filter("x.mixed").select("th", "c", (F.col("n") - F.col("at")).alias("left"), "n", F.col("x.s").alias("s")))
+    del each, rows
+    release(sets.sparkSession)
     main = prefix.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
     minor = of_group(prefix, main, "s").filter("c <> main").select("s", *[F.col(c).alias(f"{c}_a") for c in ("th", "c", "n", "left")])
     other = prefix.select("s", *[F.col(c).alias(f"{c}_b") for c in ("th", "c", "n", "left")])
@@ -137,16 +142,17 @@ def groups(docs: DataFrame, met: DataFrame | None = None) -> DataFrame:
     """
     keyed = docs.select(text_key().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     lists = cut(_band_lists(keyed))
+    release(docs.sparkSession)
     pairs, listed = lists.filter("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b")), lists.select("th")
     if met is not None:
         met = cut(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        release(docs.sparkSession)  # the index's lists
+        release(docs.sparkSession)
         pairs, listed = pairs.unionByName(met), listed.unionByName(met.select(F.explode(F.array("a", "b")).alias("th")))
     sets = keyed.dropDuplicates(["th"]).join(listed.distinct(), "th", "left_semi").mapInArrow(_sets, "th long, shingles array<long>")
     sets = cut(sets)
+    release(docs.sparkSession)  # the texts
     sizes = sets.select("th", F.size("shingles").alias("n"))
     named = components(_alike(pairs.distinct(), sets))
-    release(docs.sparkSession)  # the sets beside their pairs
     for candidates in (_to_pivots, lambda placed: _by_prefix(placed, sets)):
         links = _alike(candidates(_placed(lists, named, sizes)), sets)
         named = components(links.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))

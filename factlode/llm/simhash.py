@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import likeness
-from ._common import cut
+from ._common import cut, release
 from .components import components, of_group
 
 SHINGLE = 4
@@ -83,7 +83,9 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, list_limit: int = L
     # lists are counted by partial sums; a byte of the key is a join key more, so that adaptive execution can split a long list
     byte = F.col("key").bitwiseXOR(F.shiftright("key", 32)).bitwiseAND(F.lit(255))
     counted = listed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    listed = listed.withColumn("byte", byte).join(counted.withColumn("byte", byte), ["byte", "choice", "key"]).drop("byte")
+    # both ends below read what is left of the lists, and neither makes the cells again
+    listed = cut(listed.withColumn("byte", byte).join(counted.withColumn("byte", byte), ["byte", "choice", "key"]).drop("byte"))
+    release(fingerprints.sparkSession)
     short = listed.filter(F.col("n") <= list_limit).groupBy("choice", "key").agg(F.collect_list("fp").alias("members"))  # list_limit at most
 
     @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
@@ -169,6 +171,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     firsts = docs.groupBy(likeness.text_key().alias("th")).agg(F.min(place).alias("least"))
     named = firsts.join(_near_copies(docs), "th", "left").select("least", F.coalesce("component", "th").alias("component"))
     heads = cut(named.groupBy("component").agg(F.min("least").alias("h")).select(F.col("h.id").alias("__id"), F.col("h.th").alias("__th")))
+    del named
+    release(docs.sparkSession)  # before the texts are shuffled
     # plain keys, so that the join and the removal of repeated rows share one shuffle of the texts
     keys = lambda id, th: {"__none": id.isNull(), "__id": F.coalesce(id.cast("string"), F.lit("")), "__th": th}
     heads = heads.select(*[c.alias(n) for n, c in keys(F.col("__id"), F.col("__th")).items()])

@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 
-from factlode.llm import likeness, simhash
+from factlode import session
+from factlode.llm import _common, components, likeness, simhash
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -89,3 +91,25 @@ def test_copies_come_through_the_index_of_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(likeness, "_band_lists", lambda keyed: keyed.limit(0).selectExpr("th as id", "th", "th as least"))
     kept = {r.doc_id for r in simhash.keep_one(df).collect()}
     assert set(brute(rows).values()) <= kept and not {5, 8} <= kept and len(kept) < 8
+
+
+def test_no_step_finds_the_shuffles_of_those_before(spark, monkeypatch):
+    rnd = random.Random(6)
+    base = [f"v{rnd.randrange(3000)}" for _ in range(200)]
+    df = spark.createDataFrame([(i, " ".join(base[: 200 - i] + [f"u{i}x{j}" for j in range(i)])) for i in range(40)], "doc_id long, text string")
+    alive = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size
+    _common.release(spark)
+    time.sleep(1)
+    few, seen = alive() + 16, []
+
+    def watched(frame):
+        end = time.monotonic() + 1  # Spark deletes them in a thread of its own
+        while alive() > few and time.monotonic() < end:
+            time.sleep(0.05)
+        seen.append(alive())
+        return session.cut(frame)
+
+    for module in (likeness, simhash, components):
+        monkeypatch.setattr(module, "cut", watched)
+    assert 0 < simhash.keep_one(df).count() < 40
+    assert len(seen) > 10 and max(seen) <= few, (few, seen)
